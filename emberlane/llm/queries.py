@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlane.llm import bpe, lengths, packing, simhash, substrings
+from emberlane.llm import bpe, lengths, packing, quality_rules, simhash, substrings
 from emberlane.sources.tables import table
 
 QUERIES: dict = {}
@@ -40,3 +40,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.line_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op3_quality_rules"] = quality_rules.ORACLE

@@ -1,6 +1,6 @@
 """Substring dedup by a Relative Lempel-Ziv parse of every document against the indexed corpus.
 
-A phrase is a maximal run of windows of a document that share their least word-gram hash (their anchor). Anchors come
+A phrase is a run of windows of a document whose least word-gram hash (their anchor) stands at one place. Anchors come
 from a window's words alone, so equal windows lie in phrases of one anchor wherever they stand, and a shuffle by anchor
 sends a phrase to the one indexed block that can hold its match: the same as a parse against every block. Then
 
@@ -18,23 +18,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.text import U64, blocks, buffers, gram_hashes, signed, word_bounds, word_hashes
+from emberlane.llm.text import U64, WORDS, blocks, buffers, gram_hashes, signed, word_bounds, word_hashes
 from emberlane.session import materialize
 
 GRAM = 6
 
 
-def least_ahead(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each width consecutive values, by doubling."""
-    out, have = values, 1
+def least_ahead(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum of each width consecutive values and the place of its first occurrence there, by doubling."""
+    out, at, have = values, np.arange(len(values)), 1
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
+        later = out[step:] < out[: len(out) - step]
+        out, at = np.where(later, out[step:], out[: len(out) - step]), np.where(later, at[step:], at[: len(at) - step])
         have += step
-    return out
+    return out, at
 
 
 def phrases(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -43,14 +45,14 @@ def phrases(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarr
     if len(words) < window:
         return none, none, none, none.view(U64)
     grams = gram_hashes(words, GRAM)
-    anchor = least_ahead(grams, window - GRAM + 1)
+    anchor, place = least_ahead(grams, window - GRAM + 1)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(anchor)]
     at = np.flatnonzero(np.arange(len(anchor)) + window <= first[row + 1])
     if not len(at):
         return none, none, none, none.view(U64)
-    row, anchor = row[at], anchor[at]
+    row, anchor, place = row[at], anchor[at], place[at]
     new = np.ones(len(at), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+    new[1:] = place[1:] != place[:-1]
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(at)))
     return row[begin], at[begin] - first[row[begin]], size, anchor[begin]
@@ -65,14 +67,9 @@ def hashed_blocks(batch, column: int = 1):
         yield i, j, part, starts, ends, first
 
 
-def joined_sha(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
-    data = part.tobytes() if isinstance(part, np.ndarray) else part
-    return hashlib.sha256(b" ".join(data[a:b] for a, b in zip(starts.tolist(), ends.tolist()))).hexdigest()
-
-
 def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat values' struct array and each row's count, null as none."""
-    count = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], dtype=np.int64)
+    count = np.array([0 if x is None else x for x in pc.list_value_length(column).to_pylist()], dtype=np.int64)
     return column.flatten(), count
 
 
@@ -109,7 +106,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 for p, q in zip(first[:-1].tolist(), first[1:].tolist()):
                     shas.append(hashlib.sha256(b" ".join([data[x:y] for x, y in zip(a[p:q], b[p:q])])).hexdigest())
                 at = batch.column(2)[i:j]
-                text = pa.compute.if_else(at.is_valid(), batch.column(1)[i:j], pa.scalar(None, pa.string()))
+                text = batch.column(1).take(pa.array(np.arange(i, j), mask=~np.asarray(at.is_valid())))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.array(np.diff(first)), pa.array(shas, pa.string()), text, at],
                     names=["doc_id", "n_words", "sha", "text", "at"],
@@ -216,8 +213,6 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
 
 def _slices(words: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-    from emberlane.llm.text import WORDS
-
     return WORDS[which].slices(WORDS[which].prefix(words), begin, end)
 
 
