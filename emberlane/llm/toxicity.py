@@ -127,46 +127,53 @@ def chains(first: np.ndarray):
 
 
 def evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """What documents are judged by: a constant, the log-odds of the most toxic token, the log of expected toxic tokens."""
+    """What documents are judged by: a constant, the chance that some token is toxic, the log of expected toxic tokens."""
     count = np.diff(first)
-    top, total = np.zeros(len(count)), np.zeros(len(count))
+    none, total = np.zeros(len(count)), np.zeros(len(count))
     full = np.flatnonzero(count)
     if len(full):
-        top[full] = np.maximum.reduceat(p, first[full])
-        total[full] = np.add.reduceat(np.where(p > 0.05, p, 0), first[full])
-    top = np.clip(top, 1e-4, 1 - 1e-4)
-    return np.stack([np.ones(len(count)), np.log(top / (1 - top)) / 4, np.log1p(total)], axis=1)
+        p = np.where(p > 0.05, np.minimum(p, 1 - 1e-6), 0)
+        none[full] = np.add.reduceat(np.log1p(-p), first[full])
+        total[full] = np.add.reduceat(p, first[full])
+    return np.stack([np.ones(len(count)), -np.expm1(none), np.log1p(total)], axis=1)
 
 
-def token_labels(found: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Labels of tokens from labels of documents, by how many toxic and clean documents hold each feature."""
+def token_labels(found: np.ndarray, first: np.ndarray, toxic: np.ndarray, use: np.ndarray | None = None) -> np.ndarray:
+    """Labels of tokens from labels of documents, by how many toxic and clean documents hold each feature. use: the
+    documents that are counted."""
+    use = np.ones(len(toxic), dtype=bool) if use is None else use
     doc = np.repeat(np.arange(len(toxic)), np.diff(first))
+    counted = use[doc]
     size = 1 << BITS
     bad, good = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
     for k in range(found.shape[1]):
-        pair = np.unique(doc * np.int64(size) + found[:, k])
+        pair = np.unique(doc[counted] * np.int64(size) + found[counted, k])
         f, d = pair % size, pair // size
         bad += np.bincount(f[toxic[d]], minlength=size)
         good += np.bincount(f[~toxic[d]], minlength=size)
     bad[0] = good[0] = 0
-    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
+    n1, n0 = max(1, (toxic & use).sum()), max(1, (~toxic & use).sum())
     odds = np.log((bad + 0.1) / n1) - np.log((good + 0.1) / n0)
-    least = max(3, int(0.002 * n1))
-    marked = (bad >= least) & (odds > 3.0)
+    least = max(3, int(np.ceil(0.015 * n1)))
+    marked = (bad >= least) & (odds > 3.5)
     return toxic[doc] & marked[found].any(axis=1)
 
 
 def fit_field(found: np.ndarray, first: np.ndarray, toxic: np.ndarray, steps: int = 25, rate: float = 0.8, most: int = 40_000) -> Field:
-    """Train on at most so many chains: all that hold a toxic token, then others from the beginning of an even shuffle."""
-    label = token_labels(found, first, toxic)
+    """Train on at most so many chains: those that hold a toxic token, then others, each in the order of an even shuffle."""
+    # every fourth document is left to fit the link on, as tokens that were trained on look too sure
+    rest = np.arange(len(toxic)) % 4 == 3 if toxic[3::4].any() and not toxic[3::4].all() else np.zeros(len(toxic), dtype=bool)
+    label = token_labels(found, first, toxic, ~rest)
     chain, place, valid = chains(first)
     truth = np.zeros(valid.shape, dtype=bool)
     truth[chain, place] = label
     slot = np.full(valid.shape, -1, dtype=np.int64)
     slot[chain, place] = np.arange(len(found))
+    truth &= (np.repeat(~rest, -(-np.diff(first) // CHAIN)))[:, None]
     has = truth.any(axis=1)
     order = np.argsort(mix(np.arange(len(valid)).astype(U64)), kind="stable")
-    pick = np.concatenate([order[has[order]], order[~has[order]]])[:most]
+    pick = np.concatenate([order[has[order]], order[~has[order]]])
+    pick = pick[np.repeat(~rest, -(-np.diff(first) // CHAIN))[pick]][:most]
     truth, valid, slot = truth[pick], valid[pick], slot[pick]
     tokens_at = slot[valid]
     x, y = found[tokens_at], truth[valid].astype(float)
@@ -198,6 +205,8 @@ def fit_field(found: np.ndarray, first: np.ndarray, toxic: np.ndarray, steps: in
     field = Field(w.astype(np.float32), float(bias), trans, np.array([-2.0, 1.0, 1.0]))
     # the link from marginals to documents
     z = evidence(field.tag(found, first), first)
+    if rest.any():
+        z, toxic = z[rest], toxic[rest]
     link, target = np.array([-2.0, 1.0, 1.0]), toxic.astype(float)
     weight = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
     for _ in range(200):
