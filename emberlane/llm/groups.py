@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlane.session import materialize
 
 
+class Forest:
+    """Trees over 0..n-1 that join what the added links join; least index of a tree as its root."""
+
+    def __init__(self, n: int):
+        self.label, self.edges = np.arange(n), []
+
+    def add(self, q: np.ndarray, v: np.ndarray) -> None:
+        while len(q):  # hook roots to roots until these links join nothing new
+            a, b = self.label[q], self.label[v]
+            new = a != b
+            q, v, a, b = q[new], v[new], a[new], b[new]
+            if not len(q):
+                return
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            _, one = np.unique(high, return_index=True)
+            self.edges.append(np.stack([high[one], low[one]], axis=1))
+            target = np.arange(len(self.label))
+            target[high[one]] = low[one]
+            while True:
+                shorter = target[target]
+                if (shorter == target).all():
+                    break
+                target = shorter
+            self.label = target[self.label]
+
+    def links(self) -> np.ndarray:
+        return np.concatenate(self.edges) if self.edges else np.zeros((0, 2), dtype=np.int64)
+
+
 def tiles(rows: DataFrame, key: str, member: str, most: int) -> DataFrame:
     """Deal the rows of each bucket so that every two of its rows meet in some tile of about 2 * most rows.
 

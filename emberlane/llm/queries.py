@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.llm import bpe, lengths, packing, quality_model, quality_rules, simhash, substrings, toxicity
+from emberlane.llm import bpe, embeddings, lengths, packing, quality_model, quality_rules, simhash, substrings, toxicity
 from emberlane.sources.tables import table
 
 QUERIES: dict = {}
@@ -61,3 +61,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs by brute force; the operator finds them by hashing.
+ORACLES["op2_embeddings"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n AS a JOIN n AS b ON a.vec_id <> b.vec_id
+  WHERE a.l > 0 AND b.l > 0 AND list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.95),
+r AS (SELECT vec_id, vec_id AS seen FROM v UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.seen),
+c AS (SELECT vec_id, min(seen) AS component_id FROM r GROUP BY vec_id),
+k AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a)
+SELECT v.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
+"""

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.groups import components, tiles
+from emberlane.llm.groups import Forest, components, tiles
 from emberlane.llm.text import U64, blocks, buffers, word_bounds
 from emberlane.session import materialize
 
@@ -122,31 +122,13 @@ def _above(counters: np.ndarray, radius: int) -> np.ndarray:
 def links(values: np.ndarray, radius: int, block: int = 256) -> np.ndarray:
     """A forest over indexes of values that joins exactly those that links within the radius join."""
     n = len(values)
-    plane, label = planes(values), np.arange(n)
-    out = []
+    plane, forest = planes(values), Forest(n)
     for i in range(0, n, block):
         q, v = within(plane, values[i : i + block], radius)
         q = q + i
         ok = (v < q) & (v < n)
-        q, v = q[ok], v[ok]
-        while len(q):  # hook roots to roots until these links join nothing new
-            a, b = label[q], label[v]
-            new = a != b
-            q, v, a, b = q[new], v[new], a[new], b[new]
-            if not len(q):
-                break
-            high, low = np.maximum(a, b), np.minimum(a, b)
-            _, one = np.unique(high, return_index=True)
-            out.append(np.stack([high[one], low[one]], axis=1))
-            target = np.arange(n)
-            target[high[one]] = low[one]
-            while True:
-                shorter = target[target]
-                if (shorter == target).all():
-                    break
-                target = shorter
-            label = target[label]
-    return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+        forest.add(q[ok], v[ok])
+    return forest.links()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, keep: int = 2, shingle: int = 4, tile: int = 2048) -> DataFrame:
