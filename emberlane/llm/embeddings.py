@@ -13,7 +13,7 @@ from emberlane.llm.text import U64, mix, stream
 from emberlane.session import materialize
 
 #: Tables, hashes joined to a table's key, and how many further buckets of each table a vector looks into.
-TABLES, JOINED, PROBES = 10, 2, 3
+TABLES, JOINED, PROBES = 8, 2, 3
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -72,7 +72,7 @@ def hashes(unit: np.ndarray, tables: int = TABLES, joined: int = JOINED, probes:
             code = np.zeros(n, dtype=U64)
             for k in range(joined):
                 code = code * U64(2 * size) + np.where(change, second, best)[:, k].astype(U64)
-            out[:, t, p] = mix(code + stream(t + 77, 1)[0] + U64(d) * U64(0x9E3779B97F4A7C15)).view(np.int64)
+            out[:, t, p] = mix(code + stream(t + 77 + 1000 * d, 1)).view(np.int64)
     return out
 
 

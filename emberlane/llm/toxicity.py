@@ -211,8 +211,8 @@ def fit_field(found: np.ndarray, first: np.ndarray, toxic: np.ndarray, steps: in
     weight = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
     for _ in range(200):
         q = 1 / (1 + np.exp(-np.clip(z @ link, -40, 40)))
-        h = (z * (weight * q * (1 - q))[:, None]).T @ z + 1e-3 * np.eye(3)
-        step = np.linalg.solve(h, z.T @ (weight * (q - target)) + 1e-3 * link)
+        h = (z * (weight * q * (1 - q))[:, None]).T @ z + 1e-4 * np.eye(3)
+        step = np.linalg.solve(h, z.T @ (weight * (q - target)) + 1e-4 * link)
         link = link - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
