@@ -145,6 +145,28 @@ def score(docs: DataFrame, model: CumulativeLink | None, least: float = 0.5) ->
     return docs.select("doc_id", "text").mapInArrow(rate, "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
+def tails_of(model: CumulativeLink, column) -> np.ndarray:
+    """Tail probability of the top grade of each text of an Arrow column."""
+    out = [np.zeros(0)]
+    for i, j, row, found, count in averages(column):
+        each = model.weights[found].sum(axis=1) if len(found) else np.zeros(0)
+        out.append(model.tails(np.bincount(row, weights=each, minlength=j - i) / np.maximum(1, count))[:, -1])
+    return np.concatenate(out)
+
+
+def keep(docs: DataFrame, model: CumulativeLink | None, least: float = 0.5) -> DataFrame:
+    """The rows whose tail probability is at least so high, with all their columns and without a shuffle."""
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def choose(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(tails_of(model, batch.column(at)) >= least))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, grade: str = "quality", least: float = 0.5, rows: int = FIT_ROWS) -> DataFrame:
     """Fit on labelled rows and score every document; see fit and score."""
     return score(docs, fit(docs, labels, grade, rows), least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.llm import bpe, embeddings, lengths, packing, quality_model, quality_rules, simhash, substrings, toxicity
+from emberlane.llm import bpe, embeddings, lengths, licenses, packing, quality_model, quality_rules, simhash, substrings, toxicity
 from emberlane.sources.tables import table
 
 QUERIES: dict = {}
@@ -81,3 +81,8 @@ k AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a)
 SELECT v.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
 """
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))

@@ -269,6 +269,31 @@ def score(docs: DataFrame, field: Field | None, least: float = 0.7) -> DataFrame
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), "spans")
 
 
+def scores_of(field: Field, column) -> np.ndarray:
+    """Score of each text of an Arrow column."""
+    raw, offsets = buffers(column)
+    out = [np.zeros(0)]
+    for i, j in blocks(offsets, 1_500_000):
+        part, rows = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        starts, ends, first = tokens(part, rows)
+        p = field.tag(features(part, starts, ends), first) if len(starts) else np.zeros(0)
+        out.append(field.documents(p, first))
+    return np.concatenate(out)
+
+
+def keep(docs: DataFrame, field: Field | None, least: float = 0.7) -> DataFrame:
+    """The rows that score below least, with all their columns and without a shuffle."""
+    if field is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def choose(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scores_of(field, batch.column(at)) < least))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7, rows: int = FIT_ROWS) -> DataFrame:
     """Fit on labelled rows and score every document; see fit and score."""
     return score(docs, fit(docs, labels, rows), least)
