@@ -39,3 +39,14 @@ def silver_dual_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("region", F.get_json_object("props", "$.k").cast("int"))
     traced = e.where((F.col("event_type") == "error") & (F.col("value") > 200)).select("region")
     return e.where(F.col("event_type") != "error").join(traced, "region", "left_semi").select("event_id", "user_id", "event_type", "region")
+
+
+def load() -> None:
+    """Import every module of queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"emberlane.plans.{name}")
+
+
+MODULES = ("logs", "working_sets")
