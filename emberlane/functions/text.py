@@ -79,7 +79,7 @@ def is_secret_path(path: str | Column, globs=SECRET_GLOBS) -> Column:
 def docstring_line(body: str | Column, first: int, last: int, most: int) -> Column:
     """First docstring line among the body's lines first..last (from 1), without quotes; empty if there is none."""
     lines = F.transform(F.slice(F.split(col(body), "\n"), first, last - first + 1), lambda x: F.trim(x))
-    hit = F.element_at(F.filter(lines, lambda x: x.rlike("^(\"\"\"|''')")), 1)
+    hit = F.get(F.filter(lines, lambda x: x.rlike("^(\"\"\"|''')")), F.lit(0))
     return F.coalesce(F.substring(F.trim(F.regexp_replace(hit, "^[\"']+|[\"']+$", "")), 1, most), F.lit(""))
 
 
