@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberlane.functions.identity import col
 
 #: Words that are no terms.
-STOP_WORDS = "the and for with from this that into when then else return self none true false not are was".split()
+STOP_WORDS = "the and when with from that this into for find locate which where used after its are was has".split()
 #: A line that holds one of these is redacted.
 MARKERS = ("api_key", "apikey", "secret=", "password=", "token=")
 #: Globs of files that hold secrets.
