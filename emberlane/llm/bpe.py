@@ -51,9 +51,11 @@ class Automaton:
         spell = lambda s: bytes(letters[c] for c in s)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         words, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        self.label: list[bytes] = [b""] * (max(words.values()) + 1)
+        self.label: list[bytes] = [b""] * (max([*words.values(), *self.special.values()]) + 1)
         for word, i in words.items():
-            self.label[i] = word.encode() if word in self.special else spell(word)
+            self.label[i] = spell(word) if word not in self.special else b""
+        for word, i in self.special.items():
+            self.label[i] = word.encode()
         self.arc = {self.label[i]: i for w, i in words.items() if w not in self.special}
         self.byte = [self.arc[bytes([b])] for b in range(256)]
         n = len(self.label)
