@@ -18,7 +18,7 @@ from emberlane.llm.text import BYTES, U64, blocks, buffers, mix
 
 BITS = 18
 #: Most labelled documents of each class that a fit sees, in the order of a hash of doc_id.
-FIT_ROWS = 3000
+FIT_ROWS = 2000
 #: Tokens of a chain: the field runs over so many tokens of one document at a time.
 CHAIN = 32
 PREFIXES = (4, 5, 6, 8)
@@ -159,7 +159,7 @@ def token_labels(found: np.ndarray, first: np.ndarray, toxic: np.ndarray, use: n
     return toxic[doc] & marked[found].any(axis=1)
 
 
-def fit_field(found: np.ndarray, first: np.ndarray, toxic: np.ndarray, steps: int = 25, rate: float = 0.8, most: int = 40_000) -> Field:
+def fit_field(found: np.ndarray, first: np.ndarray, toxic: np.ndarray, steps: int = 25, rate: float = 0.8, most: int = 30_000) -> Field:
     """Train on at most so many chains: those that hold a toxic token, then others, each in the order of an even shuffle."""
     # every fourth document is left to fit the link on, as tokens that were trained on look too sure
     rest = np.arange(len(toxic)) % 4 == 3 if toxic[3::4].any() and not toxic[3::4].all() else np.zeros(len(toxic), dtype=bool)
@@ -223,9 +223,10 @@ def fit_field(found: np.ndarray, first: np.ndarray, toxic: np.ndarray, steps: in
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Field | None:
     """Fit on at most so many labelled documents of each class, never on the held-out fold; None if one class is missing."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    texts = known.join(docs.select("doc_id", "text"), "doc_id")
-    parts = [texts.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
-    got = parts[0].unionByName(parts[1]).select("text", "toxic").toArrow().combine_chunks()
+    # the sample is drawn from the labels alone; at most 2 * rows of them are broadcast to the documents
+    parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
+    sample = F.broadcast(parts[0].unionByName(parts[1]))
+    got = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic").toArrow().combine_chunks()
     toxic = got["toxic"].to_numpy() == 1
     if not toxic.any() or toxic.all():
         return None
