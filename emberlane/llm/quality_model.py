@@ -99,7 +99,8 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", rows: int = FIT_ROWS) -> CumulativeLink | None:
     """Fit on at most so many labelled rows outside the held-out fold; None where there are no two grades to tell apart."""
     known = labels.where(F.col(grade).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(grade).cast("int").alias("grade"))
-    sample = known.join(docs.select("doc_id", "text"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # the sample is drawn from the labels alone; at most so many of them are broadcast to the documents
+    sample = docs.select("doc_id", "text").join(F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)), "doc_id")
 
     def compact(batches):
         for batch in batches:
