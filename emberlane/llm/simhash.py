@@ -131,7 +131,45 @@ def links(values: np.ndarray, radius: int, block: int = 256) -> np.ndarray:
     return forest.links()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, keep: int = 2, shingle: int = 4, tile: int = 2048) -> DataFrame:
+#: Tiles of up to so many fingerprints are compared together, pair by pair.
+SMALL = 12
+
+
+def whole_tiles(batches):
+    """(tile, value) arrays of complete tiles from batches that are sorted by tile."""
+    t, v = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        t, v = np.concatenate([t, batch.column(0).to_numpy()]), np.concatenate([v, batch.column(1).to_numpy()])
+        done = np.flatnonzero(t != t[-1])[-1] + 1 if len(t) and (t != t[-1]).any() else 0
+        if done:
+            yield t[:done], v[:done]
+            t, v = t[done:], v[done:]
+    if len(t):
+        yield t, v
+
+
+def tile_links(t: np.ndarray, v: np.ndarray, radius: int) -> np.ndarray:
+    """Links [n, 2] that join what is within the radius in each tile. Pairs of small tiles of all kinds share bit planes
+    of their differing bits; a large tile has planes of its own and gives a forest."""
+    begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    size = np.diff(np.append(begin, len(t)))
+    small = np.repeat(size <= SMALL, size)
+    out = [np.zeros((0, 2), dtype=np.int64)]
+    for step in range(1, SMALL):
+        i = np.flatnonzero(small[:-step] & (t[:-step] == t[step:])) if step < len(t) else begin[:0]
+        for k in range(0, len(i), 1 << 16):
+            part = i[k : k + (1 << 16)]
+            _, near = within(planes((v[part] ^ v[part + step]).view(U64)), np.zeros(1, dtype=U64), radius)
+            part = part[near[near < len(part)]]
+            out.append(np.stack([v[part], v[part + step]], axis=1))
+    for k in np.flatnonzero(size > SMALL):
+        values = np.unique(v[begin[k] : begin[k] + size[k]])
+        pairs = links(values.view(U64), radius)
+        out.append(values[pairs])
+    return np.concatenate(out)
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, keep: int = 3, shingle: int = 4, tile: int = 2048) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id reachable by links of at most radius bits.
 
     Equal fingerprints are one node, so groups of copies cost one row. Every pair of fingerprints within the radius
@@ -148,14 +186,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, keep: int = 2, shingle: in
         F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])).alias("key"),
     )
     repeated = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
-    dealt = tiles(keyed.join(repeated, "key", "left_semi"), "key", "fp", tile).select("tile", "fp")
+    dealt = tiles(keyed.join(repeated, "key", "left_semi"), "key", "fp", tile).select(F.xxhash64("tile").alias("tile"), "fp")
 
-    def compare(table: pa.Table) -> pa.Table:
-        values = np.unique(table["fp"].to_numpy())
-        pairs = links(values.view(U64), radius)
-        return pa.table({"a": values[pairs[:, 0]], "b": values[pairs[:, 1]]})
+    def compare(batches):
+        for t, v in whole_tiles(batches):
+            pairs = tile_links(t, v, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    edges = dealt.groupBy("tile").applyInArrow(compare, "a long, b long").distinct()
+    edges = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a long, b long").distinct()
     # components over fingerprints, then the least document of each
     found = materialize(components(edges), "components")
     classes = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
