@@ -145,16 +145,23 @@ def token_labels(found: np.ndarray, first: np.ndarray, toxic: np.ndarray, use: n
     doc = np.repeat(np.arange(len(toxic)), np.diff(first))
     counted = use[doc]
     size = 1 << BITS
-    bad, good = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    # near copies share their least word hashes; a group of them counts as one document
+    low = np.zeros((len(toxic), 2), dtype=U64)
+    full = np.flatnonzero(np.diff(first))
+    for k in range(2 if len(full) else 0):
+        low[full, k] = np.minimum.reduceat(mix(found[:, 0].astype(U64) + U64(7919 * (k + 1))), first[full])
+    _, group, n = np.unique(low, axis=0, return_inverse=True, return_counts=True)
+    weight = 1.0 / n[group.ravel()]
+    bad, good = np.zeros(size), np.zeros(size)
     for k in range(found.shape[1]):
         pair = np.unique(doc[counted] * np.int64(size) + found[counted, k])
         f, d = pair % size, pair // size
-        bad += np.bincount(f[toxic[d]], minlength=size)
-        good += np.bincount(f[~toxic[d]], minlength=size)
+        bad += np.bincount(f[toxic[d]], weights=weight[d[toxic[d]]], minlength=size)
+        good += np.bincount(f[~toxic[d]], weights=weight[d[~toxic[d]]], minlength=size)
     bad[0] = good[0] = 0
-    n1, n0 = max(1, (toxic & use).sum()), max(1, (~toxic & use).sum())
+    n1, n0 = max(1.0, weight[toxic & use].sum()), max(1.0, weight[~toxic & use].sum())
     odds = np.log((bad + 0.1) / n1) - np.log((good + 0.1) / n0)
-    least = max(3, int(np.ceil(0.015 * n1)))
+    least = max(2.5, 0.015 * n1)
     marked = (bad >= least) & (odds > 3.5)
     return toxic[doc] & marked[found].any(axis=1)
 
