@@ -19,22 +19,13 @@ SECRET_GLOBS = (".env", ".env.*", "*.pem", "*.key", "credentials.json", "id_rsa"
 
 def terms(text: str | Column, least: int = 3, stop: list[str] | None = None) -> Column:
     """Distinct lower-case terms in order of appearance: raw words, their snake and camel parts."""
-    words = F.filter(F.split(col(text), "[^A-Za-z0-9_]+"), lambda w: w != "")
+    words = F.array_distinct(F.filter(F.split(col(text), "[^A-Za-z0-9_]+"), lambda w: w != ""))
     camel = "([A-Z][a-z0-9]+|[a-z0-9]+|[A-Z]+(?![a-z]))"
-    pieces = F.transform(
-        words,
-        lambda w: F.flatten(
-            F.array(
-                F.array(w),
-                F.flatten(
-                    F.transform(
-                        F.filter(F.split(w, "_"), lambda s: s != ""),
-                        lambda s: F.concat(F.array(s), F.regexp_extract_all(s, F.lit(camel), F.lit(1))),
-                    )
-                ),
-            )
-        ),
-    )
+    parts = lambda s: F.concat(F.array(s), F.regexp_extract_all(s, F.lit(camel), F.lit(1)))
+    inner = lambda w: F.flatten(F.transform(F.filter(F.split(w, "_"), lambda s: s != ""), parts))
+    # a lower-case word without _ is its own only part
+    plain = lambda w: (F.lower(w) == w) & (F.instr(w, "_") == 0)
+    pieces = F.transform(words, lambda w: F.when(plain(w), F.array(w)).otherwise(F.concat(F.array(w), inner(w))))
     lower = F.transform(F.flatten(pieces), lambda x: F.lower(x))
     banned = F.array(*[F.lit(s) for s in (STOP_WORDS if stop is None else stop)])
     return F.array_distinct(F.filter(lower, lambda x: (F.length(x) >= least) & ~F.array_contains(banned, x)))

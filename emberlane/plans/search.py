@@ -144,10 +144,10 @@ def symbols(spark, sf_dir):
 
 @query(
     "symbol_search",
-    f"WITH s AS ({SYMBOLS}) SELECT symbol, kind, start_line FROM s WHERE contains(lower(symbol), '11') ORDER BY symbol <> 'part11', kind = 'module', start_line, symbol LIMIT 40",
+    f"WITH s AS ({SYMBOLS}) SELECT symbol, kind, start_line FROM s WHERE contains(lower(symbol), 'ring') ORDER BY symbol <> 'ring', kind = 'module', start_line, symbol LIMIT 40",
 )
 def symbol_search(spark, sf_dir):
-    return lexical.symbol_search(symbols(spark, sf_dir), "11").select("symbol", "kind", "start_line")
+    return lexical.symbol_search(symbols(spark, sf_dir), "ring").select("symbol", "kind", "start_line")
 
 
 @query(
