@@ -217,9 +217,15 @@ def _slices(words: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int) -
 
 
 def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """The documents with repeated words taken out; documents of which nothing is left go. Columns as in documents."""
-    result = remove_repeats(docs, window).select("doc_id", "n_words", "n_removed", "kept_text")
-    joined = docs.join(result, "doc_id", "left").where("n_removed IS NULL OR n_removed = 0 OR n_removed < n_words")
-    text = F.coalesce("kept_text", "text")
-    columns = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*columns)
+    """The documents with repeated words taken out; documents of which nothing is left go. Columns as in documents.
+
+    Only documents that lose words are joined back; others pass as they are, whatever their columns are called.
+    """
+    hit = remove_repeats(docs, window).where("n_removed > 0").dropDuplicates(["doc_id"])
+    hit = hit.select("doc_id", F.struct(F.col("kept_text").alias("text"), (F.col("n_removed") == F.col("n_words")).alias("gone")).alias("_cleaned_by_drop_repeats"))
+    joined = docs.join(hit, "doc_id", "left")
+    cleaned = joined["_cleaned_by_drop_repeats"]
+    text = F.coalesce(cleaned["text"], docs["text"])
+    size = F.when(cleaned.isNotNull(), F.length(text).cast("long"))
+    columns = [text.alias(c) if c == "text" else F.coalesce(size, docs[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    return joined.where(cleaned.isNull() | ~cleaned["gone"]).select(*columns)

@@ -77,6 +77,9 @@ def test_substrings_of_repeated_rows_and_nothing(spark, docs, nothing):
     assert sorted((r.doc_id or 0, r.n_removed) for r in substrings.remove_repeats(d).collect()) == [(0, 0), (1, 0), (2, 60), (2, 60)]
     left = substrings.drop_repeats(d)
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1]
+    more = spark.createDataFrame([(1, t, 7, "a"), (2, t + " more words", 7, "b"), (2, t + " more words", 7, "b")], "doc_id long, text string, n_words int, kept_text string")
+    got = sorted(tuple(r) for r in substrings.drop_repeats(more).collect())
+    assert got == [(1, t, 7, "a"), (2, "more words", 7, "b"), (2, "more words", 7, "b")]
 
 
 def union(n, pairs):
