@@ -61,3 +61,11 @@ def bundle(candidates: DataFrame, session: str, key: str, score: Column, tokens:
     scored = candidates.withColumn("score", score).where(admit | pinned)
     kept = greedy(scored, session, [F.round("score", 9)], key, tokens, budget, pinned)
     return kept.join(scored.select(session, key, "score"), [session, key]).select(session, key, "score", tokens, "kept")
+
+
+def annotate(entries: DataFrame, key: str, tags: dict[str, DataFrame]) -> DataFrame:
+    """Entries with the names of the node sets that hold them, in the order given; entries are never re-ranked."""
+    out = entries
+    for name, nodes in tags.items():
+        out = out.join(nodes.select(F.col("node").alias(key)).distinct().withColumn(f"_{name}", F.lit(name)), key, "left")
+    return out.select(*entries.columns, F.array_compact(F.array(*[F.col(f"_{n}") for n in tags])).alias("graph_tags"))

@@ -214,3 +214,21 @@ def clone_clusters(spark, sf_dir):
     near = debt.near_pairs(gram_rows(spark, sf_dir), "doc_id", "grams")
     exact = table(spark, sf_dir, "documents").where("n_chars < 2500 AND lang = 'en'").select("doc_id", F.sha2("text", 256).alias("digest"), F.floor(F.col("n_chars") / 4).alias("tokens"))
     return debt.clone_clusters(exact, near, "doc_id", "digest", "tokens")
+
+
+@query(
+    "bundle_tags",
+    f"""WITH RECURSIVE e AS ({EDGES.format(k=400)}), r AS (SELECT (SELECT min(dst) FROM e) AS node, 0 AS depth UNION SELECT e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 30),
+    t AS (SELECT src AS a, dst AS b FROM e UNION SELECT t.a, e.dst FROM t JOIN e ON t.b = e.src), c AS (SELECT DISTINCT a AS node FROM t WHERE a = b),
+    n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+    SELECT node, concat_ws(',', CASE WHEN node IN (SELECT node FROM r) THEN 'reverse_bfs' END, CASE WHEN node IN (SELECT node FROM c) THEN 'tarjan' END) AS tags FROM n""",
+)
+def bundle_tags(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from emberlane.operators.candidates import annotate
+
+    e = edges_of(spark, sf_dir, 400)
+    cone = graph.reach(e, e.agg(F.min("dst").alias("node")), reverse=True)
+    scc = graph.strong_components_grouped(e).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("component"))).where("n > 1")
+    return annotate(graph.nodes_of(e), "node", {"reverse_bfs": cone, "tarjan": scc}).select("node", F.array_join("graph_tags", ",").alias("tags"))
