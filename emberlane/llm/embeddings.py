@@ -92,6 +92,98 @@ def by_length(batch: pa.RecordBatch, column: int):
         yield batch.take(pa.array(np.flatnonzero(size == d)))
 
 
+#: Tiles of up to so many rows are compared together, pair by pair; larger ones as matrices.
+SMALL = 24
+
+
+def whole_tiles(batches):
+    """Tables of complete tiles from batches that are sorted by tile."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        part = pa.concat_tables([held, part]).combine_chunks() if held is not None else part
+        tile = part["tile"].to_numpy()
+        other = np.flatnonzero(tile != tile[-1])
+        done = int(other[-1]) + 1 if len(other) else 0
+        if done:
+            yield part.slice(0, done)
+        held = part.slice(done)
+    if held is not None:
+        yield held
+
+
+def first_meeting(x: np.ndarray, y: np.ndarray, t: np.ndarray, own_x: np.ndarray, own_y: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which pairs (x, y) of rows meet in table t for the first time.
+
+    Pairs by their own keys come before those by a probe, and tables in order; if both probe each other's bucket in one
+    table, the one of the smaller id counts. Pairs of two probes do not count.
+    """
+    swap = own_x & ~own_y
+    x, y = np.where(swap, y, x), np.where(swap, x, y)  # y looks by its own key
+    both = own_x & own_y
+    ok = own_x | own_y
+    for k in range(keys.shape[1]):
+        ok &= ~((keys[x, k, 0] == keys[y, k, 0]) & ((k < t) | ~both))
+    probe = np.flatnonzero(ok & ~both)
+    a, b, at = x[probe], y[probe], t[probe]
+    seen = np.zeros(len(probe), dtype=bool)
+    for k in range(keys.shape[1]):
+        back = (keys[b, k, 1:] == keys[a, k, 0][:, None]).any(axis=1)
+        ahead = (keys[a, k, 1:] == keys[b, k, 0][:, None]).any(axis=1)
+        seen |= ((back | ahead) & (k < at)) | (back & (k == at) & (ids[b] < ids[a]))
+    ok[probe[seen]] = False
+    return ok
+
+
+def matches(rows: pa.Table, least: float):
+    """(ids, links, pairs) of tables of tiles of vectors of one length: link counts by row and linking index pairs."""
+    tile, ids, weight, t = (rows[c].to_numpy() for c in ("tile", "rep", "n", "table"))
+    own, cross = (rows[c].to_numpy(zero_copy_only=False) for c in ("own", "cross"))
+    chunk = rows["chunk"].to_numpy()
+    unit, small_unit = units(rows["embedding"].combine_chunks())
+    known, first, where = np.unique(ids, return_index=True, return_inverse=True)
+    keys = hashes(small_unit[first])[where]
+    links, pairs = np.zeros(len(ids), dtype=np.int64), [np.zeros((0, 2), dtype=np.int64)]
+
+    def count(x, y):
+        ok = (ids[x] != ids[y]) & (~cross[x] | (chunk[x] != chunk[y]))
+        x, y = x[ok], y[ok]
+        ok = first_meeting(x, y, t[x], own[x], own[y], ids, keys)
+        x, y = x[ok], y[ok]
+        np.add.at(links, x, weight[y])
+        np.add.at(links, y, weight[x])
+        return x, y
+
+    begin = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+    size = np.diff(np.append(begin, len(tile)))
+    little = np.repeat(size <= SMALL, size)
+    for step in range(1, min(SMALL, len(tile))):
+        x = np.flatnonzero(little[:-step] & (tile[:-step] == tile[step:]))
+        if len(x):
+            x = x[np.einsum("ij,ij->i", unit[x], unit[x + step]) >= least]
+            pairs.append(np.stack(count(x, x + step), axis=1))
+    for k in np.flatnonzero(size > SMALL):
+        at = np.arange(begin[k], begin[k] + size[k])
+        bases = at[own[at]]
+        forest = Forest(len(at))
+        for i in range(0, len(at), 256):
+            part = at[i : i + 256]
+            near = unit[part] @ unit[bases].T >= least
+            near &= (part[:, None] < bases[None, :]) | ~own[part][:, None]
+            # the cheap half of first_meeting for all at once: by own keys
+            for j in range(keys.shape[1]):
+                if not near.any():
+                    break
+                near &= ~((keys[part, j, 0][:, None] == keys[bases, j, 0][None, :]) & ((j < t[part[0]]) | ~own[part][:, None]))
+            q, v = np.nonzero(near)
+            x, y = count(part[q], bases[v])
+            forest.add(x - begin[k], y - begin[k])
+        pairs.append(forest.links() + begin[k])
+    return ids, links, np.concatenate(pairs)
+
+
 def near_duplicates(rows: DataFrame, least: float = 0.95, tile: int = 1024) -> DataFrame:
     """vec_id, n_links (other vectors at cosine >= least), component_id (least vec_id reachable), kept.
 
@@ -122,58 +214,27 @@ def near_duplicates(rows: DataFrame, least: float = 0.95, tile: int = 1024) -> D
     shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o")).where("c > 1 AND o").select("key")
     dealt = dealt.join(materialize(shared, "buckets"), "key", "left_semi")
     placed = materialize(tiles(dealt, "key", "rep", tile), "tiles")
-    met = placed.join(nodes, "rep").select("tile", "chunk", "table", "own", "rep", "n", "embedding")
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        low, high = (int(x) for x in table["tile"][0].as_py().split(":")[-2:])
-        ids, first = np.unique(table["rep"].to_numpy(), return_index=True)  # a vector may come by its own key only once
-        own_rows = np.zeros(len(ids), dtype=bool)
-        np.logical_or.at(own_rows, np.searchsorted(ids, table["rep"].to_numpy()), table["own"].to_numpy(zero_copy_only=False))
-        at = pa.array(first)
-        unit, small = units(table["embedding"].combine_chunks().take(at))
-        weight, chunk, t = table["n"].to_numpy()[first], table["chunk"].to_numpy()[first], int(table["table"][0].as_py())
-        keys = hashes(small)
-        own = keys[:, :, 0]
-        links, forest = np.zeros(len(ids), dtype=np.int64), Forest(len(ids))
-        bases = np.flatnonzero(own_rows)
-        for i in range(0, len(ids), 256):
-            rows_at = np.arange(i, min(i + 256, len(ids)))
-            near = unit[rows_at] @ unit[bases].T >= least
-            near &= (rows_at[:, None] < bases[None, :]) | ~own_rows[rows_at][:, None]
-            if low != high:
-                near &= chunk[rows_at][:, None] != chunk[bases][None, :]
-            # met before: by own keys in an earlier table, and for probes by own keys in any
-            for k in range(own.shape[1]):
-                if not near.any():
-                    break
-                same = own[rows_at, k][:, None] == own[bases, k][None, :]
-                near &= ~(same & ((k < t) | ~own_rows[rows_at][:, None]))
-            q, v = np.nonzero(near)
-            q, v = rows_at[q], bases[v]
-            probe = ~own_rows[q]
-            if probe.any():
-                a, b = q[probe], v[probe]
-                seen = np.zeros(len(a), dtype=bool)
-                for k in range(t + 1):
-                    back = (keys[b, k, 1:] == own[a, k][:, None]).any(axis=1)
-                    seen |= back & (ids[b] < ids[a]) if k == t else back | (keys[a, k, 1:] == own[b, k][:, None]).any(axis=1)
-                ok = np.ones(len(q), dtype=bool)
-                ok[np.flatnonzero(probe)[seen]] = False
-                q, v = q[ok], v[ok]
-            links += np.bincount(q, weights=weight[v], minlength=len(ids)).astype(np.int64) + np.bincount(v, weights=weight[q], minlength=len(ids)).astype(np.int64)
-            forest.add(q, v)
-        pairs = forest.links()
-        some = np.flatnonzero(links)
-        return pa.table(
-            {
-                "a": np.concatenate([ids[some], ids[pairs[:, 0]]]),
-                "b": pa.array(np.concatenate([ids[some], ids[pairs[:, 1]]])),
-                "links": np.concatenate([links[some], np.zeros(len(pairs), dtype=np.int64)]),
-            }
-        )
-
-    found = materialize(met.groupBy("tile").applyInArrow(compare, "a long, b long, links long"), "matches")
+    met = placed.join(nodes, "rep").select(
+        F.xxhash64("tile").alias("tile"), F.expr("element_at(split(tile, ':'), -1) <> element_at(split(tile, ':'), -2)").alias("cross"), "chunk", "table", "own", "rep", "n", "embedding"
+    )
+
+    def compare(batches):
+        for part in whole_tiles(batches):
+            size = np.asarray(pc.list_value_length(part["embedding"]))
+            for d in np.unique(size):
+                ids, links, pairs = matches(part.take(pa.array(np.flatnonzero(size == d))).combine_chunks(), least)
+                some = np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([ids[some], ids[pairs[:, 0]]])),
+                        pa.array(np.concatenate([ids[some], ids[pairs[:, 1]]])),
+                        pa.array(np.concatenate([links[some], np.zeros(len(pairs), dtype=np.int64)])),
+                    ],
+                    names=["a", "b", "links"],
+                )
+
+    sorted_tiles = met.repartition("tile").sortWithinPartitions("tile")
+    found = materialize(sorted_tiles.mapInArrow(compare, "a long, b long, links long"), "matches")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
     parts = components(found.where("a != b").select("a", "b")).withColumnRenamed("node", "rep")
     named = nodes.join(counts, "rep", "left").join(parts, "rep", "left").select(
