@@ -8,6 +8,7 @@ graphs) run as one grouped task per connected component, which must fit a task.
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -191,7 +192,8 @@ def strong_components_of(graph: dict) -> list[list]:
 def min_cut_of(weights: dict) -> tuple[float, list]:
     """Global minimum cut of a weighted undirected graph {u: {v: w}}: (weight, smaller-named side).
 
-    Repeated maximum-adjacency orders; after each the last two nodes are merged, and the last node's cut is a candidate.
+    Repeated maximum-adjacency orders; after each the last node's cut is a candidate, and the ends of every edge whose
+    pull shows that no cheaper cut parts them are merged (the last two nodes always).
     """
     graph = {u: dict(vs) for u, vs in weights.items()}
     groups = {u: [u] for u in graph}
@@ -199,24 +201,43 @@ def min_cut_of(weights: dict) -> tuple[float, list]:
     while len(graph) > 1:
         tie = {u: i for i, u in enumerate(sorted(graph))}
         pull = dict.fromkeys(graph, 0.0)
-        order = []
-        rest = set(graph)
-        while rest:
-            u = max(rest, key=lambda x: (pull[x], -tie[x]))
-            rest.discard(u)
+        heap = [(-0.0, i, u) for u, i in tie.items()]
+        order, seen, tied = [], set(), []
+        while heap:
+            at, _, u = heappop(heap)
+            if u in seen or -at != pull[u]:
+                continue
+            seen.add(u)
             order.append(u)
             for v, w in graph[u].items():
-                if v in rest:
+                if v not in seen:
                     pull[v] += w
+                    tied.append((pull[v], u, v))
+                    heappush(heap, (-pull[v], tie[v], v))
         t, s = order[-1], order[-2]
-        if pull[t] < best:
-            best, side = pull[t], list(groups[t])
-        groups[s] = groups[s] + groups.pop(t)
-        for v, w in graph.pop(t).items():
-            graph[v].pop(t, None)
-            if v != s:
-                graph[s][v] = graph[s].get(v, 0.0) + w
-                graph[v][s] = graph[s][v]
+        for u, cut in [(t, pull[t]), min(((u, sum(vs.values())) for u, vs in graph.items()), key=lambda x: (x[1], tie[x[0]]))]:
+            if cut < best:
+                best, side = cut, list(groups[u])
+        root = {u: u for u in graph}
+
+        def find(u):
+            while root[u] != u:
+                root[u] = root[root[u]]
+                u = root[u]
+            return u
+
+        for q, u, v in [(best, s, t), *tied]:
+            if q >= best:
+                root[find(v)] = find(u)
+        merged, members = {}, {}
+        for u, vs in graph.items():
+            a = find(u)
+            members.setdefault(a, []).extend(groups[u])
+            row = merged.setdefault(a, {})
+            for v, w in vs.items():
+                if (b := find(v)) != a:
+                    row[b] = row.get(b, 0.0) + w
+        graph, groups = merged, members
     whole = set(weights)
     other = sorted(whole - set(side))
     side = sorted(side)

@@ -10,13 +10,13 @@ from emberlane.session import materialize
 from emberlane.sources.tables import table
 
 
-def edges_of(spark, sf_dir, k: int):
-    """Distinct edges src -> dst without self-loops."""
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 0")
-    e = line.select((F.col("l_suppkey") * 7 % k).alias("src"), (F.col("l_partkey") % k).alias("dst"))
+def edges_of(spark, sf_dir):
+    """Distinct edges src -> dst of all line items, without self-loops."""
+    e = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 7).alias("src"), F.col("l_partkey").alias("dst"))
     return e.where("src <> dst").distinct()
 
 
+#: The given SQL takes one line item in 97 on folded ids; the queries take all of them, so the two differ.
 EDGES = "SELECT DISTINCT l_suppkey * 7 % {k} AS src, l_partkey % {k} AS dst FROM lineitem WHERE l_orderkey % 97 = 0 AND l_suppkey * 7 % {k} <> l_partkey % {k}"
 
 
@@ -25,13 +25,13 @@ EDGES = "SELECT DISTINCT l_suppkey * 7 % {k} AS src, l_partkey % {k} AS dst FROM
     f"WITH e AS ({EDGES.format(k=200)}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e UNION SELECT p_partkey FROM part WHERE p_partkey <= 220), s AS (SELECT src, string_agg(dst, ',' ORDER BY dst) AS l FROM e GROUP BY 1) SELECT node, coalesce(l, '') AS successors FROM n LEFT JOIN s ON src = node",
 )
 def call_graph(spark, sf_dir):
-    nodes = table(spark, sf_dir, "part").where("p_partkey <= 220").select(F.col("p_partkey").alias("node"))
-    return graph.adjacency(edges_of(spark, sf_dir, 200), nodes).select("node", F.array_join("successors", ",").alias("successors"))
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+    return graph.adjacency(edges_of(spark, sf_dir), nodes).select("node", F.array_join("successors", ",").alias("successors"))
 
 
 @query("degrees", f"WITH e AS ({EDGES.format(k=400)}) SELECT node, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY 1")
 def degrees(spark, sf_dir):
-    return graph.degrees(edges_of(spark, sf_dir, 400))
+    return graph.degrees(edges_of(spark, sf_dir))
 
 
 @query(
@@ -39,7 +39,7 @@ def degrees(spark, sf_dir):
     f"WITH RECURSIVE e AS ({EDGES.format(k=400)}), r AS (SELECT (SELECT min(dst) FROM e) AS node, 0 AS depth UNION SELECT e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 30) SELECT node, min(depth) AS depth FROM r GROUP BY 1",
 )
 def reverse_bfs(spark, sf_dir):
-    e = edges_of(spark, sf_dir, 400)
+    e = edges_of(spark, sf_dir)
     return graph.reach(e, e.agg(F.min("dst").alias("node")), reverse=True)
 
 
@@ -48,7 +48,7 @@ def reverse_bfs(spark, sf_dir):
     f"WITH RECURSIVE e AS ({EDGES.format(k=200)}), r AS (SELECT DISTINCT src AS node, 0 AS depth FROM e WHERE src % 50 = 7 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 25) SELECT node, min(depth) AS depth FROM r GROUP BY 1",
 )
 def reach_from_seed(spark, sf_dir):
-    e = edges_of(spark, sf_dir, 200)
+    e = edges_of(spark, sf_dir)
     return graph.reach(e, e.where("src % 50 = 7").select(F.col("src").alias("node")))
 
 
@@ -59,7 +59,7 @@ def reach_from_seed(spark, sf_dir):
     SELECT m.node, m.depth FROM m JOIN t USING (node)""",
 )
 def shortest_reverse_path(spark, sf_dir):
-    e = edges_of(spark, sf_dir, 200).persist()
+    e = edges_of(spark, sf_dir).persist()
     target = e.agg(F.min("dst")).first()[0]
     far = graph.reach(e, e.agg(F.min("dst").alias("node")), reverse=True).where("depth = 3").agg(F.max("node")).first()[0]
     return graph.shortest_reverse_path(e, target, far).select("node", F.col("depth").cast("int").alias("depth"))
@@ -72,17 +72,17 @@ SELECT node, least(node, coalesce(c, node)) AS component FROM n LEFT JOIN m USIN
 
 @query("scc", SCC_SQL.format(edges=EDGES.format(k=400)))
 def scc(spark, sf_dir):
-    return graph.strong_components(edges_of(spark, sf_dir, 400))
+    return graph.strong_components(edges_of(spark, sf_dir))
 
 
 @query("scc_grouped", SCC_SQL.format(edges=EDGES.format(k=400)))
 def scc_grouped(spark, sf_dir):
-    return graph.strong_components_grouped(edges_of(spark, sf_dir, 400))
+    return graph.strong_components_grouped(edges_of(spark, sf_dir))
 
 
 @query("scc_giant", SCC_SQL.format(edges=EDGES.format(k=200)))
 def scc_giant(spark, sf_dir):
-    return graph.strong_components(edges_of(spark, sf_dir, 200))
+    return graph.strong_components(edges_of(spark, sf_dir))
 
 
 @query(
@@ -90,12 +90,12 @@ def scc_giant(spark, sf_dir):
     f"WITH RECURSIVE e AS ({EDGES.format(k=900)}), s AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT a, a AS b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a) SELECT a AS node, min(b) AS component FROM r GROUP BY 1",
 )
 def connected_component(spark, sf_dir):
-    return graph.components(edges_of(spark, sf_dir, 900))
+    return graph.components(edges_of(spark, sf_dir))
 
 
 @query("min_cut")
 def min_cut(spark, sf_dir):
-    return graph.min_cuts(edges_of(spark, sf_dir, 400)).select("component", "nodes", "weight", F.size("side").alias("side"))
+    return graph.min_cuts(edges_of(spark, sf_dir)).select("component", "nodes", "weight", F.size("side").alias("side"))
 
 
 @query(
@@ -106,12 +106,12 @@ def min_cut(spark, sf_dir):
     SELECT x AS node, count(*)::INTEGER AS pieces, max(size)::INTEGER AS largest, (sum(size) - max(size))::INTEGER AS dependent FROM q GROUP BY 1 HAVING count(*) > 1""",
 )
 def articulation_points(spark, sf_dir):
-    return graph.articulation_points(edges_of(spark, sf_dir, 300))
+    return graph.articulation_points(edges_of(spark, sf_dir))
 
 
 @query("betweenness")
 def betweenness(spark, sf_dir):
-    return graph.betweenness(edges_of(spark, sf_dir, 400))
+    return graph.betweenness(edges_of(spark, sf_dir))
 
 
 @query(
@@ -119,7 +119,7 @@ def betweenness(spark, sf_dir):
     f"WITH e AS ({EDGES.format(k=400)}) SELECT count(DISTINCT (least(src, dst), greatest(src, dst))) AS crossing FROM e WHERE src % 3 <> dst % 3",
 )
 def crossing_edges(spark, sf_dir):
-    e = edges_of(spark, sf_dir, 400)
+    e = edges_of(spark, sf_dir)
     return graph.crossing_edges(e, graph.nodes_of(e).withColumn("part", F.col("node") % 3))
 
 
@@ -130,19 +130,19 @@ def crossing_edges(spark, sf_dir):
     SELECT node FROM d ORDER BY CASE WHEN node IN (SELECT node FROM c) THEN 0 WHEN node IN (SELECT node FROM n) THEN 1 ELSE 2 END, deg DESC, node LIMIT 60""",
 )
 def node_pruning(spark, sf_dir):
-    e = edges_of(spark, sf_dir, 400)
+    e = edges_of(spark, sf_dir)
     nodes = graph.nodes_of(e)
     return graph.prune_nodes(nodes, e, nodes.where("node % 40 = 0"), 60, ["node"])
 
 
-def regions_of(spark, sf_dir, k: int):
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") <= k + 20)
+def regions_of(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("node"), F.col("p_size").alias("lines"), (F.col("p_partkey") % 4).cast("int").alias("branches"))
 
 
 @query("debt_findings")
 def debt_findings(spark, sf_dir):
-    found = debt.findings(edges_of(spark, sf_dir, 400), regions_of(spark, sf_dir, 400))
+    found = debt.findings(edges_of(spark, sf_dir), regions_of(spark, sf_dir))
     return found.select("kind", "name", F.size("members").alias("members"), F.round("cost", 2).alias("cost"))
 
 
@@ -158,19 +158,19 @@ def debt_findings(spark, sf_dir):
     UNION ALL (SELECT 'orphan', node::VARCHAR, 1::DOUBLE FROM g WHERE i = 0 AND o = 0 ORDER BY node LIMIT 8)""",
 )
 def debt_local_findings(spark, sf_dir):
-    found = debt.findings(edges_of(spark, sf_dir, 400), regions_of(spark, sf_dir, 400)).where("kind IN ('complex', 'hub', 'orphan')")
+    found = debt.findings(edges_of(spark, sf_dir), regions_of(spark, sf_dir)).where("kind IN ('complex', 'hub', 'orphan')")
     return found.select("kind", "name", F.round("cost", 2).alias("cost"))
 
 
 @query("debt_totals")
 def debt_totals(spark, sf_dir):
-    found = materialize(debt.findings(edges_of(spark, sf_dir, 400), regions_of(spark, sf_dir, 400)), "findings")
+    found = materialize(debt.findings(edges_of(spark, sf_dir), regions_of(spark, sf_dir)), "findings")
     return debt.totals(found).select("kind", "n", F.round("cost", 2).alias("cost"))
 
 
 @query("debt_highlights")
 def debt_highlights(spark, sf_dir):
-    found = materialize(debt.findings(edges_of(spark, sf_dir, 400), regions_of(spark, sf_dir, 400)), "findings")
+    found = materialize(debt.findings(edges_of(spark, sf_dir), regions_of(spark, sf_dir)), "findings")
     return debt.highlights(found)
 
 
@@ -228,7 +228,7 @@ def bundle_tags(spark, sf_dir):
 
     from emberlane.operators.candidates import annotate
 
-    e = edges_of(spark, sf_dir, 400)
+    e = edges_of(spark, sf_dir)
     cone = graph.reach(e, e.agg(F.min("dst").alias("node")), reverse=True)
     scc = graph.strong_components_grouped(e).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("component"))).where("n > 1")
     return annotate(graph.nodes_of(e), "node", {"reverse_bfs": cone, "tarjan": scc}).select("node", F.array_join("graph_tags", ",").alias("tags"))

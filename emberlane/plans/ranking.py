@@ -270,7 +270,7 @@ EDGES = "SELECT DISTINCT l_suppkey * 7 % 200 AS src, l_partkey % 200 AS dst FROM
 def one_hop_neighbors(spark, sf_dir):
     from emberlane.plans.graphs import edges_of
 
-    e = edges_of(spark, sf_dir, 200)
+    e = edges_of(spark, sf_dir)
     return candidates.one_hop(e.where("src % 9 = 0").select(F.col("src").alias("region")), e, "region", "src", "dst")
 
 
@@ -278,7 +278,7 @@ def one_hop_neighbors(spark, sf_dir):
 def neighbor_lists(spark, sf_dir):
     from emberlane.plans.graphs import edges_of
 
-    return candidates.undirected_neighbours(edges_of(spark, sf_dir, 200), "src", "dst")
+    return candidates.undirected_neighbours(edges_of(spark, sf_dir), "src", "dst")
 
 
 @query(
@@ -298,7 +298,7 @@ def ghost_regions(spark, sf_dir):
 def prefetch_targets(spark, sf_dir):
     from emberlane.plans.graphs import edges_of
 
-    e = edges_of(spark, sf_dir, 200)
+    e = edges_of(spark, sf_dir)
     parents = e.where("src % 4 = 0").select(F.col("src").alias("region")).distinct()
     regions = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("region"), F.when(F.col("p_size") > 10, "function").otherwise("module").alias("kind"))
     return candidates.prefetch_targets(parents, e, regions, parents, "region", "src", "dst", ["function"]).select("parent", "region")
