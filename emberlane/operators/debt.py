@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlane.operators import graph
+from emberlane.session import materialize
 
 #: Weights and reporting bars of the findings.
 TANGLED, CHOKE, COMPLEX, HUB, ORPHAN = 8, 12, 5, 2, 1
@@ -58,22 +59,36 @@ def highlights(found: DataFrame) -> DataFrame:
     return found.where(rank.isNotNull()).select(F.explode("members").alias("region"), "kind", rank.alias("r")).groupBy("region").agg(F.min_by("kind", "r").alias("kind"))
 
 
-def near_pairs(rows: DataFrame, key: str, grams: str, least: float = 0.82) -> DataFrame:
-    """(a, b, similarity) of rows whose distinct grams have at least this Jaccard similarity.
+def near_links(rows: DataFrame, key: str, grams: str, least: float = 0.82) -> tuple[DataFrame, DataFrame]:
+    """(key, rep) of rows with grams, where rows of equal gram sets share their least id as rep; and (a, b, similarity)
+    of the different reps whose sets have at least this Jaccard similarity.
 
     Prefix filter: with grams in one total order (rare first), similar sets share one of their first
-    n - ceil(least * n) + 1 grams, so only rows that share a prefix gram are compared. Rows without grams are left out.
+    n - ceil(least * n) + 1 grams, so only rows that share a prefix gram are compared. Grams count as their XXH64.
     """
-    flat = rows.select(key, F.explode(F.array_distinct(grams)).alias("g"))
+    bare = rows.select(key, F.sort_array(F.array_distinct(F.transform(grams, lambda x: F.xxhash64(x)))).alias("s")).where(F.size("s") > 0)
+    bare = materialize(bare.select(key, "s", F.sha2(F.to_json("s"), 256).alias("d")), "grams")
+    named = materialize(bare.join(bare.groupBy("d").agg(F.min(key).alias("rep")), "d").select(key, "rep"), "reps")
+    flat = bare.join(named.where(F.col(key) == F.col("rep")), key).select(key, F.explode("s").alias("g"))
     freq = flat.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
     sets = flat.join(freq, "g").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("s"))
-    sets = sets.select(key, F.transform("s", lambda x: x["g"]).alias("s"), F.size("s").alias("n"))
+    sets = materialize(sets.select(key, F.col("s.g").alias("s"), F.size("s").alias("n")), "sets")
     head = sets.select(key, "n", F.explode(F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("g"))
     other = head.select(F.col(key).alias("b"), F.col("n").alias("nb"), "g")
     pairs = head.select(F.col(key).alias("a"), F.col("n").alias("na"), "g").join(other, "g").where((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)).select("a", "b").distinct()
     both = pairs.join(sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (inter / (F.size("sa") + F.size("sb") - inter)).alias("similarity")).where(F.col("similarity") >= least)
+    return named, both.select("a", "b", (inter / (F.size("sa") + F.size("sb") - inter)).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def near_pairs(rows: DataFrame, key: str, grams: str, least: float = 0.82) -> DataFrame:
+    """(a, b, similarity) of rows whose distinct grams have at least this Jaccard similarity. Rows without grams are left
+    out. Equal sets are compared once and their pairs written out at the end."""
+    named, links = near_links(rows, key, grams, least)
+    links = links.unionByName(named.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")).distinct())
+    ends = lambda c: named.select(F.col("rep").alias(c), F.col(key).alias(f"_{c}"))
+    full = links.join(ends("a"), "a").join(ends("b"), "b").where((F.col("a") != F.col("b")) | (F.col("_a") < F.col("_b")))
+    return full.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "similarity")
 
 
 def clone_clusters(exact: DataFrame, near: DataFrame, key: str, digest: str, tokens: str) -> DataFrame:

@@ -181,6 +181,7 @@ def clone_exact(spark, sf_dir):
     return out.select("digest", "copies", "kept", ((F.col("copies") - 1) * F.col("t")).alias("redundant_cost"))
 
 
+#: The given SQL takes short English documents only; the queries take all.
 GRAMS_SQL = """
 WITH d AS (SELECT doc_id, n_chars, list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM documents WHERE n_chars < 2500 AND lang = 'en'),
 g AS (SELECT doc_id, n_chars, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d),
@@ -192,7 +193,7 @@ j AS (SELECT a, b, n / (len(u.g) + len(v.g) - n) AS s FROM p JOIN g u ON u.doc_i
 def gram_rows(spark, sf_dir):
     from emberlane.operators.lexical import words
 
-    d = table(spark, sf_dir, "documents").where("n_chars < 2500 AND lang = 'en'").select("doc_id", "n_chars", words("text").alias("w"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", words("text").alias("w"))
     d = d.withColumn("m", F.greatest(F.size("w") - 2, F.lit(0)))
     two = F.zip_with(F.slice("w", F.lit(1), F.col("m")), F.slice("w", F.lit(2), F.col("m")), lambda a, b: F.concat_ws(" ", a, b))
     return d.select("doc_id", "n_chars", F.zip_with(two, F.slice("w", F.lit(3), F.col("m")), lambda a, b: F.concat_ws(" ", a, b)).alias("grams"))
@@ -211,8 +212,10 @@ def clone_near_jaccard(spark, sf_dir):
     SELECT cluster, count(*) AS copies, min(node) AS kept, ((count(*) - 1) * arg_min(n_chars // 4, node))::BIGINT AS redundant_cost FROM c JOIN documents ON doc_id = node GROUP BY 1""",
 )
 def clone_clusters(spark, sf_dir):
-    near = debt.near_pairs(gram_rows(spark, sf_dir), "doc_id", "grams")
-    exact = table(spark, sf_dir, "documents").where("n_chars < 2500 AND lang = 'en'").select("doc_id", F.sha2("text", 256).alias("digest"), F.floor(F.col("n_chars") / 4).alias("tokens"))
+    named, near = debt.near_links(gram_rows(spark, sf_dir), "doc_id", "grams")
+    # copies are linked to their representative only
+    near = near.select("a", "b").unionByName(named.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    exact = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.floor(F.col("n_chars") / 4).alias("tokens"))
     return debt.clone_clusters(exact, near, "doc_id", "digest", "tokens")
 
 

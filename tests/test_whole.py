@@ -64,3 +64,21 @@ def test_min_cut_of_a_large_sparse_graph():
         w[u][v] = w[v][u] = 1.0
     best, side = graph.min_cut_of(w)
     assert best == 2.0 and side == list(range(n))
+
+
+def test_clone_queries_take_all_documents(spark, tmp_path):
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randint(0, 500)}" for _ in range(700))
+    short = " ".join(f"v{rng.randint(0, 500)}" for _ in range(60))
+    rows = [(1, text, "de"), (2, text, "de"), (3, text + " tail", "fr"), (4, short, None), (5, short.replace(" ", ", "), "en"), (6, short, "es"), (7, "other words here", "en"), (8, "", "en"), (9, "", "de"), (10, None, "en")]
+    spark.createDataFrame([(*r, len(r[1]) if r[1] else None) for r in rows], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def grams(t):
+        w = (t or "").replace(",", "").split()
+        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+
+    sets = {i: grams(t) for i, t, _ in rows}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and sets[b]}
+    got = {(r.a, r.b): r.similarity for r in run(spark, tmp_path, "clone_near_jaccard")}
+    assert got == {k: round(v, 6) for k, v in want.items() if v >= 0.82} and len(got) == 6
+    assert {r.cluster: (r.copies, r.kept) for r in run(spark, tmp_path, "clone_clusters")} == {1: (3, 1), 4: (3, 4), 8: (2, 8)}
