@@ -85,16 +85,21 @@ def capped(rows: DataFrame, by: str, parent: str, key: str, order: list[Column],
 
 
 def cap_edges(edges: DataFrame, by: str, order: list[Column], u: str, v: str, most: int = 4) -> DataFrame:
-    """Edges in order; an edge is dropped only if both its ends already have so many. A fold per group."""
-    kind = dict(edges.dtypes)[u]
-    item = F.struct(*[(-o).alias(f"o{i}") for i, o in enumerate(order)], F.col(u).alias("u"), F.col(v).alias("v"))
-    g = edges.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.create_map().cast(f"map<{kind},int>").alias("deg"), F.array().cast(f"array<struct<u:{kind},v:{kind}>>").alias("kept"))
-
-    def step(s, x):
-        du, dv = F.coalesce(F.element_at(s["deg"], x["u"]), F.lit(0)), F.coalesce(F.element_at(s["deg"], x["v"]), F.lit(0))
-        take = ~((du >= most) & (dv >= most))
-        more = F.map_concat(F.map_filter(s["deg"], lambda k, _: (k != x["u"]) & (k != x["v"])), F.map_from_entries(F.array_distinct(F.array(F.struct(x["u"].alias("k"), (du + 1).alias("n")), F.struct(x["v"].alias("k"), (dv + 1).alias("n"))))))
-        return F.struct(F.when(take, more).otherwise(s["deg"]).alias("deg"), F.when(take, F.concat(s["kept"], F.array(F.struct(x["u"].alias("u"), x["v"].alias("v"))))).otherwise(s["kept"]).alias("kept"))
-
-    return g.select(by, F.explode(F.aggregate("items", start, step, lambda s: s["kept"])).alias("e")).select(by, F.col("e.u").alias(u), F.col("e.v").alias(v))
+    """Edges in order; an edge is dropped only if both its ends already have so many. One pass per group, which must fit
+    a task."""
+    kind = dict(edges.dtypes)
+    ranks = [f"_o{i}" for i in range(len(order))]
+    rows = edges.select(by, F.col(u).alias("_u"), F.col(v).alias("_v"), *[(-o).alias(r) for o, r in zip(order, ranks)])
+
+    def fold(pdf):
+        pdf = pdf.sort_values([*ranks, "_u", "_v"], kind="stable")
+        deg, take = {}, []
+        for x, y in zip(pdf["_u"], pdf["_v"]):
+            ok = deg.get(x, 0) < most or deg.get(y, 0) < most
+            take.append(ok)
+            if ok:
+                for end in {x, y}:
+                    deg[end] = deg.get(end, 0) + 1
+        return pdf.loc[take, [by, "_u", "_v"]]
+
+    return rows.groupBy(by).applyInPandas(fold, f"{by} {kind[by]}, _u {kind[u]}, _v {kind[v]}").withColumnsRenamed({"_u": u, "_v": v})

@@ -82,3 +82,26 @@ def test_clone_queries_take_all_documents(spark, tmp_path):
     got = {(r.a, r.b): r.similarity for r in run(spark, tmp_path, "clone_near_jaccard")}
     assert got == {k: round(v, 6) for k, v in want.items() if v >= 0.82} and len(got) == 6
     assert {r.cluster: (r.copies, r.kept) for r in run(spark, tmp_path, "clone_clusters")} == {1: (3, 1), 4: (3, 4), 8: (2, 8)}
+
+
+def test_interval_edge_and_line_queries_take_all_rows(spark, lines, tmp_path):
+    at, rows = lines
+    spans = defaultdict(list)
+    for _, s, p, _, q in rows:
+        spans[s, p].append(q)
+    spans = {k: (min(v), max(v)) for k, v in spans.items()}
+    want = {(k, a, b) for (k, a), x in spans.items() for (j, b), y in spans.items() if j == k and a < b and x[0] <= y[1] and y[0] <= x[1]}
+    assert {(r.k, r.a, r.b) for r in run(spark, at, "interval_overlap_binned")} == want
+    kept = set()
+    for g in range(3):
+        count, deg = defaultdict(int), defaultdict(int)
+        for _, s, p, _, _ in rows:
+            count[s, -p] += s % 3 == g
+        for (u, v), n in sorted(count.items(), key=lambda x: (-x[1], x[0])):
+            if n and not (deg[u] >= 2 and deg[v] >= 2):
+                kept.add((g, u, v))
+                deg[u] += 1
+                deg[v] += 1
+    assert {(r.g, r.u, r.v) for r in run(spark, at, "edge_cap")} == kept
+    spark.createDataFrame([(i, "en") for i in (1, 2, 3, 5)], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.n for r in run(spark, tmp_path, "jsonl_count")] == [4]
