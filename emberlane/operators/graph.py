@@ -8,7 +8,9 @@ graphs) run as one grouped task per connected component, which must fit a task.
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,15 +43,24 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int = 1000, reverse: bool = False) -> DataFrame:
+def rounds(most: int | None, what: str) -> Iterator[int]:
+    """1, 2, ... without end, or an error after so many: a loop never ends before it has settled."""
+    for n in count(1):
+        if most is not None and n > most:
+            raise RuntimeError(f"{what} did not settle in {most} rounds")
+        yield n
+
+
+def reach(edges: DataFrame, starts: DataFrame, most: int | None = None, reverse: bool = False) -> DataFrame:
     """(node, depth): nodes reachable from the starts with their least number of steps; reverse walks edges backwards.
+    Raises if nodes are left after most steps.
 
     One join a step with the frontier; nodes that are known are left out, so the work is that of the edges once.
     """
     step = edges.select(F.col("dst" if reverse else "src").alias("at"), F.col("src" if reverse else "dst").alias("node")).distinct()
     known = materialize(starts.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
     front = known
-    for depth in range(1, most + 1):
+    for depth in rounds(None if most is None else most + 1, "reach"):
         new = front.select(F.col("node").alias("at")).join(step, "at").select("node").distinct().join(known, "node", "left_anti")
         front = materialize(new.withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():
@@ -60,13 +71,14 @@ def reach(edges: DataFrame, starts: DataFrame, most: int = 1000, reverse: bool =
     return known
 
 
-def shortest_reverse_path(edges: DataFrame, target, start, most: int = 50) -> DataFrame:
-    """One row with the path from target back to start (callee to caller), the least in order of ids; none if unreachable."""
+def shortest_reverse_path(edges: DataFrame, target, start, most: int | None = None) -> DataFrame:
+    """One row with the path from target back to start (callee to caller), the least in order of ids; none if unreachable.
+    Raises if the search is still going after most steps."""
     kind = dict(edges.dtypes)["src"]
     spark = edges.sparkSession
     known = materialize(spark.range(1).select(F.lit(target).cast(kind).alias("node"), F.array(F.lit(target).cast(kind)).alias("path")), "path")
     front = known
-    for _ in range(most):
+    for n in rounds(None if most is None else most + 1, "shortest_reverse_path"):
         if not front.where(F.col("node") == start).isEmpty():
             break
         hop = front.join(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct(), "node")
@@ -75,6 +87,8 @@ def shortest_reverse_path(edges: DataFrame, target, start, most: int = 50) -> Da
         if front.isEmpty():
             break
         known = known.unionByName(front)
+        if n % 8 == 0:
+            known = materialize(known, "path")
     return known.where(F.col("node") == start).select("node", "path", (F.size("path") - 1).alias("depth"))
 
 
@@ -94,16 +108,17 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def strong_components(edges: DataFrame, most: int = 200) -> DataFrame:
+def strong_components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component): strongly connected components, named by their least node, of nodes on edges.
 
     Rounds of forward and backward least labels: a node whose two labels agree belongs to that label's component, which
-    then leaves the graph. Nodes without an edge in or out among what is left are components of their own.
+    then leaves the graph. Nodes without an edge in or out among what is left are components of their own. Raises if
+    edges are left after most rounds.
     """
     left = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "scc")
     every = materialize(nodes_of(edges), "nodes")
     done = None
-    for _ in range(most):
+    for n in rounds(None if most is None else most + 1, "strong_components"):
         # trim: nodes that lack a predecessor or a successor
         live = left.select(F.col("src").alias("node")).distinct().join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
         kept = left.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(live.withColumnRenamed("node", "dst"), "dst", "left_semi")
@@ -117,24 +132,25 @@ def strong_components(edges: DataFrame, most: int = 200) -> DataFrame:
         behind = _least_label(left, True).withColumnRenamed("label", "back")
         found = materialize(ahead.join(behind, "node").where("label = back").select("node", F.col("label").alias("component")), "found")
         done = found if done is None else done.unionByName(found)
+        if n % 8 == 0:
+            done = materialize(done, "done")
         left = left.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti")
         left = materialize(left.select("src", "dst"), "scc")
     out = every if done is None else every.join(done, "node", "left")
     return out.select("node", F.coalesce("component", "node").alias("component")) if done is not None else out.select("node", F.col("node").alias("component"))
 
 
-def _least_label(edges: DataFrame, reverse: bool, most: int = 500) -> DataFrame:
+def _least_label(edges: DataFrame, reverse: bool, most: int | None = None) -> DataFrame:
     """(node, label): the least node that reaches each node (or that it reaches)."""
     step = edges.select(F.col("dst" if reverse else "src").alias("at"), F.col("src" if reverse else "dst").alias("node"))
     label = materialize(nodes_of(edges).select("node", F.col("node").alias("label")), "least")
-    for _ in range(most):
+    for _ in rounds(most, "labels"):
         near = step.join(label.select(F.col("node").alias("at"), "label"), "at").groupBy("node").agg(F.min("label").alias("m"))
         new = materialize(label.join(near, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label")), "least")
         same = new.join(label.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
         label = new
         if same:
             return label
-    raise RuntimeError("labels did not settle")
 
 
 # ---- one task per connected component -------------------------------------------------------------------------------
