@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberlane.functions.identity import col
 
 #: Words that are no terms.
-STOP_WORDS = "the and when with from that this into for find locate which where used after its are was has".split()
+STOP_WORDS = ("the", "and", "when", "with", "from", "that", "this", "into", "for", "find", "locate", "which", "where", "used", "after", "its", "are", "was", "has")
 #: A line that holds one of these is redacted.
 MARKERS = ("api_key", "apikey", "secret=", "password=", "token=")
 #: Globs of files that hold secrets.
@@ -28,7 +28,7 @@ def terms(text: str | Column, least: int = 3, stop: list[str] | None = None) ->
     pieces = F.transform(words, lambda w: F.when(plain(w), F.array(w)).otherwise(F.concat(F.array(w), inner(w))))
     lower = F.transform(F.flatten(pieces), lambda x: F.lower(x))
     banned = F.array(*[F.lit(s) for s in (STOP_WORDS if stop is None else stop)])
-    return F.array_distinct(F.filter(lower, lambda x: (F.length(x) >= least) & ~F.array_contains(banned, x)))
+    return F.array_except(F.filter(lower, lambda x: F.length(x) >= least), banned)
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -46,7 +46,7 @@ def keywords(text: str | Column, most: int = 5, stop: list[str] | None = None) -
     """First distinct words of four letters or more that are not stop words."""
     found = F.regexp_extract_all(F.lower(col(text)), F.lit("([a-z]{4,})"), F.lit(1))
     banned = F.array(*[F.lit(s) for s in (STOP_WORDS if stop is None else stop)])
-    return F.slice(F.array_distinct(F.filter(found, lambda x: ~F.array_contains(banned, x))), 1, most)
+    return F.slice(F.array_except(found, banned), 1, most)
 
 
 def redact_lines(text: str | Column, markers=MARKERS, pattern: str | None = None, put: str = "[redacted]") -> Column:

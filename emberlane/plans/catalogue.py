@@ -50,15 +50,14 @@ def function_clones(spark, sf_dir):
     return debt.clone_clusters(exact, near, "id", "digest", "tokens")
 
 
-@query("jsonl_roundtrip", "SELECT event_id, event_type, user_id FROM events WHERE event_type IN ('error', 'signup')")
+@query("jsonl_roundtrip", "SELECT event_id, event_type, user_id FROM events")
 def jsonl_roundtrip(spark, sf_dir):
     path = f"{shared_dir(spark)}/emberlane/jsonl-{uuid.uuid4().hex}"
-    files.write_jsonl(table(spark, sf_dir, "events").where("event_type IN ('error', 'signup')").select("user_id", "event_type", "event_id"), path)
+    files.write_jsonl(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), path)
     return files.read_jsonl(spark, path, "event_id long, event_type string, user_id long")
 
 
-#: The given SQL counts even ids only; the query writes and counts all documents.
-@query("jsonl_count", "SELECT count(*) AS n FROM documents WHERE doc_id % 2 = 0")
+@query("jsonl_count", "SELECT count(*) AS n FROM documents")
 def jsonl_count(spark, sf_dir):
     path = f"{shared_dir(spark)}/emberlane/jsonl-{uuid.uuid4().hex}"
     files.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "lang"), path)

@@ -284,9 +284,12 @@ def latest_row(spark, sf_dir):
     return lake.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), ["ts", "event_id"], ["user_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("event_list", "SELECT event_id, user_id FROM (SELECT * FROM events WHERE user_id = 7 ORDER BY ts, event_id LIMIT 50)")
+@query("event_list", "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 50")
 def event_list(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("user_id = 7").orderBy("ts", "event_id").limit(50).select("event_id", "user_id")
+    """The first 50 events of every session, oldest first."""
+    from emberlane.operators.windows import top_per_key
+
+    return top_per_key(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 50).select("event_id", "user_id")
 
 
 @query("tail_reversed", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS n FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 1500)")
@@ -299,12 +302,12 @@ def tail_reversed(spark, sf_dir):
 
 @query(
     "json_decode",
-    "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), -1) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS other FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50",
+    "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), -1) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS other, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50, FALSE) AS high FROM events",
 )
 def json_decode(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     k = lake.json_field("props", "$.k", "int", -1)
-    return e.where(k >= 50).select("event_id", k.alias("k"), lake.json_field("props", "$.missing", "string", "none").alias("other"))
+    return e.select("event_id", k.alias("k"), lake.json_field("props", "$.missing", "string", "none").alias("other"), (k >= 50).alias("high"))
 
 
 @query(

@@ -96,7 +96,7 @@ def test_interval_edge_and_line_queries_take_all_rows(spark, lines, tmp_path):
     for g in range(3):
         count, deg = defaultdict(int), defaultdict(int)
         for _, s, p, _, _ in rows:
-            count[s, -p] += s % 3 == g
+            count[s, -1 - p] += s % 3 == g
         for (u, v), n in sorted(count.items(), key=lambda x: (-x[1], x[0])):
             if n and not (deg[u] >= 2 and deg[v] >= 2):
                 kept.add((g, u, v))
