@@ -23,26 +23,14 @@ def hash_sign(term: str | Column) -> Column:
 def hash_embed_sparse(rows: DataFrame, key: str, terms: str) -> DataFrame:
     """(key, slot, value): unit signed feature-hash vectors, without zero slots; no terms: slot 0 is 1.
 
-    One digest a term. A row's terms are folded in the row, sorted by slot, so nothing is shuffled.
+    One digest a term; terms are summed per slot before the shuffle, and a row's slots (at most 256) meet once for the norm.
     """
-    digest = F.transform(F.coalesce(F.col("_t"), F.array().cast("array<string>")), lambda t: F.sha2(t, 256))
-    byte = lambda h, at: F.conv(F.substring(h, at, 2), 16, 10).cast("int")
-    code = F.sort_array(F.transform(digest, lambda h: byte(h, 1) * 2 + byte(h, 9) % 2))
-    none = F.array().cast("array<struct<slot:int,raw:int>>")
-    start = F.struct(none.alias("done"), F.lit(-1).alias("slot"), F.lit(0).alias("raw"))
-    closed = lambda s: F.when(s["raw"] == 0, s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["slot"].alias("slot"), s["raw"].alias("raw")))))
-
-    def take(s, c):
-        slot, sign = F.shiftright(c, 1), 1 - 2 * (c % 2)
-        same = s["slot"] == slot
-        return F.struct(F.when(same, s["done"]).otherwise(closed(s)).alias("done"), slot.alias("slot"), F.when(same, s["raw"] + sign).otherwise(sign).alias("raw"))
-
-    one = F.array(F.struct(F.lit(0).alias("slot"), F.lit(1).alias("raw")))
-    coded = rows.select(key, F.col(terms).alias("_t")).select(key, code.alias("code"))
-    folded = coded.select(key, F.when(F.size("code") == 0, one).otherwise(F.aggregate("code", start, take, closed)).alias("s"))
-    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["raw"].cast("double") * x["raw"]))
-    # the norm is taken below the explosion, once a row
-    return folded.select(key, "s", norm.alias("norm")).select(key, "norm", F.explode("s").alias("s")).select(key, F.col("s.slot").alias("slot"), (F.col("s.raw") / F.col("norm")).alias("value"))
+    digest = F.sha2("term", 256)
+    t = rows.select(key, F.explode_outer(terms).alias("term")).select(key, F.substring(digest, 1, 10).alias("h"))
+    byte = lambda at: F.conv(F.substring("h", at, 2), 16, 10).cast("int")
+    slots = t.groupBy(key, F.coalesce(byte(1), F.lit(0)).alias("slot")).agg(F.sum(F.coalesce(1 - 2 * (byte(9) % 2), F.lit(1))).alias("raw"))
+    whole = slots.groupBy(key).agg(F.collect_list(F.struct("slot", "raw")).alias("s"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return whole.select(key, "norm", F.explode("s").alias("s")).where("s.raw <> 0").select(key, F.col("s.slot").alias("slot"), (F.col("s.raw") / F.col("norm")).alias("value"))
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
