@@ -2,38 +2,62 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WHITE = " \\t\\n\\x0B\\f\\r"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Boilerplate phrases of web pages, as one pattern that Java and RE2 read alike.
+#: Boilerplate phrases of web pages, in any case.
 BOILERPLATE = (
-    r"(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|click here|javascript|lorem ipsum"
-    r"|sign up|log in|read more|subscribe|share this|back to top)"
-)
-TERMINAL = r"[.!?:;…\"')\]»”][ \t\x0B\f\r]*$"
+    "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "javascript",
+    "lorem ipsum", "sign up", "log in", "read more", "subscribe", "share this", "back to top",
+)
+#: Signs that end a line of prose.
+ENDS = ".!?:;…\"')]»”"
+#: Bits of a window's place in its packed code; the others are bits of its hash.
+PLACE = 24
 
 
 def word_array(text):
-    return F.filter(F.split(text, f"[{WHITE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"[{WHITE}]+"), "")
 
 
 def count_of(text, signs: str):
     return F.length(text) - F.length(F.translate(text, signs, ""))
 
 
-def line_fails(line, min_words: int = 1):
+def boilerplate(text):
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
+
+
+def line_fails(line, symbols=None, phrases=None, min_words: int = 1):
     """True for a line that breaks a rule: too many symbols for its length, a row of links between bars, shouting,
-    boilerplate, or prose of several words without an end."""
-    words = F.size(word_array(line))
-    symbols = count_of(line, SYMBOLS) * 10 > F.length(line)
-    navigation = count_of(line, "|") >= 3
-    shouting = (words >= 3) & (F.upper(line) == line) & (F.lower(line) != line)
-    boilerplate = line.rlike(BOILERPLATE)
-    unended = (words >= 8) & ~line.rlike(TERMINAL)
-    return symbols | navigation | shouting | boilerplate | unended | (words < min_words)
+    boilerplate, or prose of several words without an end. symbols, phrases: false where the line's document is known to
+    hold no such sign or phrase. Words are counted only where the verdict hangs on them."""
+    yes = F.lit(True)
+    signs = (count_of(line, SYMBOLS) * 10 > F.length(line)) | (count_of(line, "|") >= 3)
+    words = lambda n: F.size(word_array(line)) >= n
+    shouting = (F.upper(line) == line) & (F.lower(line) != line) & words(3)
+    ended = F.right(F.rtrim(line, F.lit(BLANKS)), F.lit(1)).isin(list(ENDS))
+    few = F.lit(False) if min_words <= 1 else ~words(min_words)
+    return ((yes if symbols is None else symbols) & signs) | ((yes if phrases is None else phrases) & boilerplate(line)) | (~ended & words(8)) | shouting | few
+
+
+def repeat_words(w, m):
+    """Words in three-word windows that stand in w twice or more; m: how many windows there are. Windows compare as
+    strings, in an order of their hashes."""
+    window = F.transform(F.slice(w, F.lit(1), m), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))
+    s = F.array_sort(F.transform(window, lambda t, i: F.struct(F.xxhash64(t).alias("h"), t.alias("t"), i.alias("i"))))
+    dup = F.transform(F.arrays_zip(F.slice(s, F.lit(1), F.greatest(m - 1, F.lit(0))).alias("a"), F.slice(s, F.lit(2), F.greatest(m - 1, F.lit(0))).alias("b")), lambda z: F.when(z["a"]["t"] == z["b"]["t"], F.array(z["a"]["i"], z["b"]["i"])))
+    return covered(F.flatten(F.array_compact(dup)))
+
+
+def covered(starts):
+    return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
 
 
 def line_rules(docs: DataFrame, most_lost: int = 50, min_words: int = 50, most_repeated: int = 50) -> DataFrame:
@@ -43,43 +67,43 @@ def line_rules(docs: DataFrame, most_lost: int = 50, min_words: int = 50, most_r
     base_failed: fewer than min_words words, or more than most_repeated percent of them in three-word windows that the
     text holds twice or more. kept: not base_failed, and the lines that pass (first occurrences, no rule broken) hold at
     least 100 - most_lost percent of the characters of all lines with a word. Null and empty texts have no words and
-    fail. Rows stay as they come, repeated ones too; other columns are ignored. All work is within a row, by sorts of
-    the row's own windows, so hot keys and very long texts cost no shuffle and n log n at most.
+    fail. Rows stay as they come, repeated ones too; other columns are ignored. All work is within a row, by a sort of
+    numbers that pack a window's hash and place, so hot keys and very long texts cost no shuffle and n log n at most. A
+    text in which different windows meet in these numbers, or too long for them, is done again by whole strings.
     """
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     t = t.select("doc_id", "text", word_array(F.col("text")).alias("w"), F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{WHITE}]")).alias("all_lines"))
-    t = t.select("*", F.array_distinct("all_lines").alias("lines"), F.size("w").cast("long").alias("n_words"), F.greatest(F.size("w") - 2, F.lit(0)).alias("m"))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.col("m")), F.slice("w", F.lit(2), F.col("m")), lambda a, b: F.concat(a, F.lit(" "), b))
-    windows = F.zip_with(pairs, F.slice("w", F.lit(3), F.col("m")), lambda a, b: F.concat(a, F.lit(" "), b))
+    mask = (1 << PLACE) - 1
     t = t.select(
-        "doc_id",
-        "text",
-        "n_words",
-        "m",
-        "lines",
-        F.size("all_lines").alias("n_lines"),
-        F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("t"), i.alias("i")))).alias("s"),
-        F.filter("lines", lambda x: ~line_fails(x)).alias("good"),
-    )
-    near = F.zip_with(
-        F.slice("s", F.lit(1), F.greatest(F.col("m") - 1, F.lit(0))),
-        F.slice("s", F.lit(2), F.greatest(F.col("m") - 1, F.lit(0))),
-        lambda a, b: F.when(a["t"] == b["t"], F.array(a["i"], b["i"])),
+        "*",
+        F.array_distinct("all_lines").alias("lines"),
+        F.size("w").cast("long").alias("n_words"),
+        F.greatest(F.size("w") - 2, F.lit(0)).alias("m"),
+        F.col("text").rlike(f"[{SYMBOLS}]").alias("symbols"),
+        boilerplate(F.col("text")).alias("phrases"),
     )
-    starts = F.flatten(F.filter(near, lambda x: x.isNotNull()))
-    covered = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2))))
-    chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    code = F.transform(F.slice("w", F.lit(1), F.col("m")), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))
+    t = t.select("*", F.sort_array(code).alias("s"))
+    place = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
+    meet = lambda x, y: F.shiftright(x.bitwiseXOR(y), PLACE) == 0
+    alike = lambda x, y: reduce(lambda a, b: a & b, [F.get("w", place(x) + k) == F.get("w", place(y) + k) for k in range(3)])
+    next_to = lambda i, by: F.get("s", i + by)
+    beside = F.filter("s", lambda x, i: F.coalesce(meet(x, next_to(i, 1)), F.lit(False)) | F.coalesce(meet(x, next_to(i, -1)), F.lit(False)))
+    t = t.select("*", beside.alias("d"))
+    clash = F.exists(F.transform("d", lambda x, i: meet(x, F.get("d", i + 1)) & ~alike(x, F.get("d", i + 1))), lambda x: F.coalesce(x, F.lit(False)))
+    repeated = F.when(F.size("d") == 0, 0).when(clash | (F.col("m") > mask), repeat_words(F.col("w"), F.col("m"))).otherwise(covered(F.transform("d", place)))
+    chars = lambda lines: F.length(F.array_join(lines, "")).cast("long")
     t = t.select(
         "doc_id",
         "n_words",
-        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
-        count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
-        (F.col("n_lines") - F.size("lines")).cast("long").alias("n_dup_lines"),
-        F.size(covered).cast("long").alias("n_repeat_words"),
-        F.array_join("good", "\n").alias("clean_text"),
-        chars(F.col("good")).alias("kept_chars"),
-        chars(F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{WHITE}]"))).alias("line_chars"),
+        chars("w").alias("word_chars"),
+        F.when(F.col("symbols"), count_of(F.col("text"), SYMBOLS)).otherwise(0).cast("long").alias("n_symbols"),
+        (F.size("all_lines") - F.size("lines")).cast("long").alias("n_dup_lines"),
+        repeated.cast("long").alias("n_repeat_words"),
+        F.filter("lines", lambda x: ~line_fails(x, F.col("symbols"), F.col("phrases"))).alias("good"),
+        chars("all_lines").alias("line_chars"),
     )
+    t = t.select("*", F.array_join("good", "\n").alias("clean_text"), chars("good").alias("kept_chars")).drop("good")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     kept = ~failed & (100 * F.col("kept_chars") >= (100 - most_lost) * F.col("line_chars"))
     return t.select("*", failed.alias("base_failed"), kept.alias("kept"))
