@@ -22,7 +22,7 @@ def document_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
         encoder = bpe.library_encoder(path)
         for batch in batches:
             raw, offsets = buffers(batch.column(0))
-            for i, j in blocks(offsets, 1_500_000):
+            for i, j in blocks(offsets):
                 _, row = encoder.block(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(row), pa.int64())], names=["n_tokens"])
 

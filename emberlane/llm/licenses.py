@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from emberlane.llm.text import BYTES, U64, blocks, buffers, gram_hashes, mix, stream
+from emberlane.llm.text import U64, blocks, buffers, gram_hashes, mix, slice_hashes, stream
 from emberlane.llm.toxicity import LOWER, tokens
 
 SHINGLE = 5
@@ -49,8 +49,7 @@ TEMPLATES = (
 def shingles(raw: np.ndarray, offsets: np.ndarray):
     """Hashes of SHINGLE lower-cased words in a row, their row and place there, and the words' bounds."""
     starts, ends, first = tokens(raw, offsets)
-    table, rolling = BYTES[1]
-    words = rolling.slices(rolling.prefix(table[LOWER[raw]]), starts, ends) if len(raw) else np.zeros(0, dtype=U64)
+    words = slice_hashes(LOWER[raw], starts, ends, 1) if len(raw) else np.zeros(0, dtype=U64)
     grams = gram_hashes(words, SHINGLE)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(grams)]
     ok = np.arange(len(grams)) + SHINGLE <= first[row + 1] if len(grams) else np.zeros(0, dtype=bool)
@@ -159,7 +158,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
     def search(batches):
         for batch in batches:
             raw, offsets = buffers(batch.column(1))
-            for i, j in blocks(offsets, 1_500_000):
+            for i, j in blocks(offsets):
                 part, rows = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 grams, ok, row, starts, ends, first = shingles(part, rows)
                 by_row = defaultdict(set)

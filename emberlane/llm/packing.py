@@ -76,7 +76,7 @@ def cut_pieces(docs: DataFrame, size: int, path: str, end_id: int = 0) -> DataFr
         encoder = bpe.library_encoder(path)
         for batch in batches:
             raw, offsets = buffers(batch.column(1))
-            for i, j in blocks(offsets, 1_500_000):
+            for i, j in blocks(offsets):
                 ids, row = encoder.block(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids = np.insert(ids.astype("<u4"), row[1:], end_id)
                 row = row + np.arange(len(row))
@@ -93,7 +93,7 @@ def cut_pieces(docs: DataFrame, size: int, path: str, end_id: int = 0) -> DataFr
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack_documents(docs: DataFrame, size: int = 1024, path: str | None = None, group: int = GROUP) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.text import BYTES, U64, blocks, buffers, word_bounds, word_hashes
+from emberlane.llm.text import U64, blocks, buffers, slice_hashes, word_bounds, word_hashes
 
 BITS = 16
 #: Most labelled documents that a fit sees, taken in the order of a hash of doc_id.
@@ -30,10 +31,8 @@ def features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     new[1:] = shape[1:] != shape[:-1]
     new[starts] = True
     at = np.flatnonzero(new)
-    table, rolling = BYTES[1]
-    prefix = rolling.prefix(table[shape[at]])
     # whitespace runs lie between words and are never inside a slice
-    shapes = rolling.slices(prefix, np.searchsorted(at, starts), np.searchsorted(at, ends))
+    shapes = slice_hashes(shape[at], np.searchsorted(at, starts), np.searchsorted(at, ends), 1)
     half = U64((1 << (BITS - 1)) - 1)
     return np.stack([word & half, (shapes & half) + U64(1 << (BITS - 1))], axis=1).astype(np.int64)
 
@@ -41,7 +40,7 @@ def features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 def averages(batch_column):
     """Blocks of a text column with each row's features: (i, j, row of each word, features, words of each row)."""
     raw, offsets = buffers(batch_column)
-    for i, j in blocks(offsets, 2_000_000):
+    for i, j in blocks(offsets):
         part, rows = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, first = word_bounds(part, rows)
         count = np.diff(first)
@@ -93,27 +92,35 @@ class CumulativeLink:
 
 
 def held_out(doc_id):
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
+    """Rows that a fit leaves out; a row without doc_id is none of them."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", rows: int = FIT_ROWS) -> CumulativeLink | None:
-    """Fit on at most so many labelled rows outside the held-out fold; None where there are no two grades to tell apart."""
-    known = labels.where(F.col(grade).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(grade).cast("int").alias("grade"))
+    """Fit on at most so many labelled documents outside the held-out fold; None where there are no two grades to tell apart.
+
+    A doc_id that labels repeat counts once, with its least grade. Rows of documents that repeat a sampled doc_id are all
+    used, so documents should hold each id once. The sample is sorted by its features: the order of rows does not matter.
+    """
+    known = labels.where(F.col(grade).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min(F.col(grade).cast("int")).alias("grade"))
     # the sample is drawn from the labels alone; at most so many of them are broadcast to the documents
     sample = docs.select("doc_id", "text").join(F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)), "doc_id")
 
     def compact(batches):
         for batch in batches:
             for i, j, row, found, count in averages(batch.column(0)):
-                index, value = [], []
+                index, value, marks = [], [], []
                 ends = np.cumsum(count)
                 for k in range(j - i):
                     ids, n = np.unique(found[ends[k] - count[k] : ends[k]].ravel(), return_counts=True)
                     index.append(ids.astype(np.int32))
                     value.append((n / max(1, count[k])).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["grade", "at", "x"])
+                    marks.append(xxhash.xxh3_64_intdigest(index[-1].tobytes() + value[-1].tobytes()) >> 1)
+                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), batch.column(1)[i:j], pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["mark", "grade", "at", "x"])
 
-    got = sample.select("text", "grade").mapInArrow(compact, "grade int, at array<int>, x array<float>").toArrow().combine_chunks()
+    got = sample.select("text", "grade").mapInArrow(compact, "mark long, grade int, at array<int>, x array<float>").toArrow().combine_chunks()
+    got = got.sort_by([("mark", "ascending"), ("grade", "ascending")]).combine_chunks()
     names = sorted(set(got["grade"].to_pylist()))
     if len(names) < 2:
         return None
@@ -143,7 +150,7 @@ def score(docs: DataFrame, model: CumulativeLink | None, least: float = 0.5) ->
                     names=["doc_id", "expected_grade", "tail_probability", "kept"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(rate, "doc_id long, expected_grade double, tail_probability double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rate, "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 def tails_of(model: CumulativeLink, column) -> np.ndarray:

@@ -27,7 +27,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     def hashed(batches):
         for batch in batches:
             raw, offsets = buffers(batch.column(1))
-            for i, j in blocks(offsets, 1_000_000):
+            for i, j in blocks(offsets):
                 part, rows = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 part = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.uint8)
                 starts, ends, first = word_bounds(part, rows)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 WHITE = np.zeros(256, dtype=bool)
@@ -34,7 +35,10 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes mod 2^64 of any slice of an array, by prefix sums. One instance serves many arrays."""
+    """Polynomial hashes mod 2^64 of short slices of an array of hashes, by prefix sums. One instance serves many arrays.
+
+    For slices of some dozen entries that are well mixed themselves; long runs over few values can collide.
+    """
 
     def __init__(self, seed: int):
         base = int(stream(seed, 1)[0]) | 5
@@ -43,7 +47,7 @@ class Rolling:
 
     def grow(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = -(-n // 4096) * 4096
             with np.errstate(over="ignore"):
                 for name, by in (("up", self.base), ("down", self.inverse)):
                     steps = np.full(n, by, dtype=U64)
@@ -63,22 +67,31 @@ class Rolling:
             return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-BYTES = [(stream(11, 256), Rolling(12)), (stream(21, 256), Rolling(22))]
 WORDS = [Rolling(31), Rolling(32)]
+#: Bytes of text that are worked on at once; a longer text is worked on alone.
+BLOCK = 256 << 10
+#: Slices of more bytes are hashed one by one.
+LONG = 256
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (from 0) of a string column; null is empty."""
+    """Bytes and offsets (from 0) of a string column, without a copy of the bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype=np.int64)
-    data = column.buffers()[2] if len(column) else None
+    if not pa.types.is_large_string(column.type) and not pa.types.is_string(column.type):
+        column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    if not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, most: int = 3_000_000):
+def blocks(offsets: np.ndarray, most: int = BLOCK):
     """Row ranges of at most so many bytes, or of one row."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -87,6 +100,30 @@ def blocks(offsets: np.ndarray, most: int = 3_000_000):
         i = min(j, n)
 
 
+def slice_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of slices of bytes, eight bytes a step, each step mixed in full: not linear in the bytes, so no
+    family of texts collides under every seed."""
+    size = ends - starts
+    padded = np.zeros(len(raw) + 8, dtype=np.uint8)
+    padded[: len(raw)] = raw
+    lanes = np.ndarray(shape=(len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + stream(seed + 101, 1))
+        at = np.arange(len(size))
+        step = 0
+        while len(at):
+            rest = size[at] - 8 * step
+            lane = lanes[starts[at] + 8 * step]
+            short = rest < 8
+            lane[short] &= (U64(1) << (rest[short] * 8).astype(U64)) - U64(1)
+            h[at] = mix((h[at] ^ lane) + U64(0x9E3779B97F4A7C15))
+            step += 1
+            at = at[(size[at] > 8 * step) & (size[at] <= LONG)] if step == 1 else at[rest > 8]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed=(seed * 0x9E3779B1 + 7) & 0xFFFFFFFFFFFFFFFF)
+    return h
+
+
 def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and each row's first word (one entry more than rows)."""
     if not len(raw):
@@ -104,9 +141,8 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    table, rolling = BYTES[which]
-    return rolling.slices(rolling.prefix(table[raw]), starts, ends)
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    return slice_hashes(raw, starts, ends, seed)
 
 
 def gram_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
