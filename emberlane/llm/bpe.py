@@ -1,11 +1,14 @@
-"""Byte-level BPE as a tokenization automaton, and an encoder of whole texts with it.
-
-The merges are compiled one after another, in priority order, into a deterministic automaton over token arcs. The
-gadget of merge (u, v) -> uv forbids the arc v in the state that is entered by u and opens an arc uv: a state is the
-last token that was read, and the arc t leaves state s exactly if no merge applies across the border of s and t. That
-border property is decided from the merges' gadgets, by the derivations of the two tokens, and kept in a table as
-states are met, so the automaton is built as far as texts need it. A pre-split word is read along the only path of
-arcs that spell it; decoding emits the labels of the arcs.
+"""Byte-level BPE as a compiled tokenization automaton, and an encoder of whole texts with it.
+
+The merges are compiled one after another, in priority order, into a deterministic automaton over token arcs. At first
+every byte is an arc from every state to the state named by that byte. The gadget of merge (u, v) -> uv
+
+* gives the new arc uv a state of its own, which leaves by the arcs that the state of v has at that time;
+* closes, in the state of u, the arc v and all arcs that will be made of v and what follows it, from this merge on.
+
+A state keeps its closed arcs as a table of intervals over arcs numbered so that those which a gadget closes lie side by
+side. A pre-split word is read from left to right by table lookups alone: at each place exactly one arc arrives, the one
+that ends there and is open in the state at which it begins. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -15,23 +18,19 @@ import json
 import os
 import sys
 import unicodedata
+from array import array
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from emberlane.llm.text import blocks, buffers
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-SPECIAL = "<|endoftext|>"
-
-
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
-    try:
-        import public_tokenizers
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return os.path.join(os.path.dirname(VOCABULARY), name)
+    return str(public_tokenizers.path(name))
 
 
 def byte_letters() -> dict[str, int]:
@@ -42,7 +41,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    """Deterministic automaton of a merge list; arcs are labelled with tokens."""
+    """Deterministic automaton of a merge list; states and arcs are tokens, closed arcs are intervals of arc numbers."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -56,102 +55,83 @@ class Automaton:
             self.label[i] = spell(word) if word not in self.special else b""
         for word, i in self.special.items():
             self.label[i] = word.encode()
-        self.arc = {self.label[i]: i for w, i in words.items() if w not in self.special}
-        self.byte = [self.arc[bytes([b])] for b in range(256)]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        self.compile([words[letter] for letter in letters if letter in words], [(words[u], words[v], words[u + v]) for u, v in pairs])
+
+    def compile(self, alphabet: list[int], merges: list[tuple[int, int, int]]) -> None:
+        """All gadgets, in order. A token that a second merge makes again keeps its first gadget's state and number."""
         n = len(self.label)
-        self.left, self.right, self.rank = [-1] * n, [-1] * n, [-1] * n  # the gadget that opened each arc
-        self.gadget: dict[int, tuple[int, int]] = {}
-        for rank, m in enumerate(merges):
-            u, v = m if isinstance(m, list) else m.split(" ")
-            self.add_gadget(rank, words[u], words[v], words[u + v])
-        self.longest = max(map(len, self.arc))
-        # arcs by first bytes: the proper prefixes of labels, so that a scan ends early
-        self.prefix = {w[:k] for w in self.arc for k in range(1, len(w))}
-        self.arcs: dict[int, bool] = {}
-
-    def add_gadget(self, rank: int, u: int, v: int, uv: int) -> None:
-        """State u loses its arc v for good; arc uv opens. A word that was made before keeps its first derivation."""
-        self.gadget.setdefault((u << 20) | v, (rank, uv))
-        if self.rank[uv] < 0:
-            self.left[uv], self.right[uv], self.rank[uv] = u, v, rank
-
-    def open(self, s: int, t: int) -> bool:
-        """Has state s an arc t?"""
-        key = (s << 20) | t
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) > 4_000_000:
-                self.arcs.clear()
-            known = self.arcs[key] = self._settle(s, t)
-        return known
-
-    def _settle(self, s: int, t: int) -> bool:
-        """Run both derivations backwards: the arc is closed if a gadget across the border comes before the later
-        of the two gadgets that hide the border tokens."""
-        limit = 1 << 40
-        while True:
-            hit = self.gadget.get((s << 20) | t)
-            if hit is not None and hit[0] < limit:
-                return False
-            # open the token that was made last: until then its parts stood at the border
-            if self.rank[s] > self.rank[t] or (self.rank[s] == self.rank[t] and self.rank[s] >= 0 and self._left_first(s, t)):
-                limit, s = min(limit, self.rank[s]), self.right[s]
-                if limit and self.rank[s] < 0 and self.rank[t] < 0:
-                    hit = self.gadget.get((s << 20) | t)
-                    return not (hit is not None and hit[0] < limit)
-            elif self.rank[t] >= 0:
-                limit, t = min(limit, self.rank[t] + 1), self.left[t]
-                if self.rank[s] < 0 and self.rank[t] < 0:
-                    hit = self.gadget.get((s << 20) | t)
-                    return not (hit is not None and hit[0] < limit)
+        made = [-1] * n  # the merge that opened an arc
+        front: list[list[int]] = [[] for _ in range(n)]  # arcs that begin with this one, as they were made
+        for rank, (u, v, uv) in enumerate(merges):
+            if made[uv] < 0:
+                made[uv] = rank
+                front[u].append(uv)
+        # arcs in preorder, what was made last first: v and all that is made of it from some merge on are one interval
+        self.number = [0] * n
+        self.after = [0] * n
+        count, stack = 0, [(a, False) for a in reversed(alphabet)]
+        while stack:
+            t, done = stack.pop()
+            if done:
+                self.after[t] = count
             else:
-                return True
+                self.number[t] = count
+                count += 1
+                stack.append((t, True))
+                stack.extend((x, False) for x in front[t])
+        self.closed: list[array | None] = [None] * n
+        for a in alphabet:
+            self.closed[a] = array("I")
+        opened = set(alphabet)
+        for rank, (u, v, uv) in enumerate(merges):
+            if u not in opened or v not in opened or self.is_closed(u, v):
+                continue  # the gadget meets no state: another merge comes before it wherever the pair stands
+            if made[uv] == rank:
+                opened.add(uv)
+                self.closed[uv] = self.closed[v]  # shared until a gadget changes it
+            older = next((x for x in reversed(self._older(front[v], made, rank))), None)
+            self.closed[u] = self._close(self.closed[u], self.number[v], self.number[older] if older is not None else self.after[v])
+        self.arc = {self.label[t]: t for t in opened}
+        self.start = array("I")
+        self.longest = max(map(len, self.arc))
+        # what labels end with: a scan back from a place stops where no label ends so
+        self.suffix = {w[k:] for w in self.arc for k in range(1, len(w))}
+
+    @staticmethod
+    def _older(arcs: list[int], made: list[int], rank: int) -> list[int]:
+        """Arcs made before a merge; arcs come in the order of their making."""
+        return arcs[: bisect_left(arcs, rank, key=made.__getitem__)]
 
     @staticmethod
-    def _left_first(s: int, t: int) -> bool:
-        """Equal ranks: one merge makes both sides; it goes from left to right, so the right one is opened first."""
-        return False
+    def _close(table: array, low: int, high: int) -> array:
+        """The table with [low, high) closed too; bounds at even places begin an interval."""
+        i, j = bisect_left(table, low), bisect_right(table, high)
+        bounds = ([low] if not i % 2 else []) + ([high] if not j % 2 else [])
+        return table[:i] + array("I", bounds) + table[j:]
+
+    def is_closed(self, state: int, arc: int) -> bool:
+        return bisect_right(self.closed[state], self.number[arc]) % 2 == 1
 
     def read(self, word: bytes) -> list[int]:
-        """The token arcs of the only accepted path that spells the word."""
-        whole = self.arc.get(word)
-        if whole is not None and (self.rank[whole] >= 0 or len(word) == 1):
-            return [whole]
+        """The token arcs of the only path that spells the word."""
         n = len(word)
-        path: list[int] = []
-        ends: list[int] = [0]
-        dead: set[tuple[int, int]] = set()
-        choices = [self._arcs_from(word, 0)]
-        while ends[-1] < n:
-            at, last = ends[-1], path[-1] if path else -1
-            options = choices[-1]
-            step = None
-            while options:
-                t = options.pop()
-                end = at + len(self.label[t])
-                if (last < 0 or self.open(last, t)) and (end, t) not in dead:
-                    step = t, end
+        arrived, tables, number = [-1] * (n + 1), [None] * (n + 1), self.number
+        tables[0] = self.start
+        for end in range(1, n + 1):
+            for begin in range(end - 1, max(-1, end - 1 - self.longest), -1):
+                part = word[begin:end]
+                t = self.arc.get(part)
+                if t is not None and bisect_right(tables[begin], number[t]) % 2 == 0:
+                    arrived[end], tables[end] = t, self.closed[t]
                     break
-            if step:
-                path.append(step[0])
-                ends.append(step[1])
-                choices.append(self._arcs_from(word, step[1]))
-            else:
-                choices.pop()
-                dead.add((ends.pop(), path.pop()))
-        return path
-
-    def _arcs_from(self, word: bytes, at: int) -> list[int]:
-        """All arcs that spell the word on from here, the longest last."""
-        out = []
-        for end in range(at + 1, min(len(word), at + self.longest) + 1):
-            part = word[at:end]
-            t = self.arc.get(part)
-            if t is not None:
-                out.append(t)
-            if part not in self.prefix:
-                break
-        return out
+                if part not in self.suffix:
+                    break
+        path = []
+        while n:
+            path.append(arrived[n])
+            n -= len(self.label[arrived[n]])
+        return path[::-1]
 
 
 #: Classes of code points: 0 other, 1 letter, 2 number, 3 white space.
@@ -370,7 +350,7 @@ def encode_decode(batches, path: str):
     digits = (np.frombuffer(b"".join(comma), dtype=np.uint8), np.cumsum([len(x) for x in comma]) - [len(x) for x in comma], np.array([len(x) for x in comma], dtype=np.int64))
     for batch in batches:
         raw, offsets = buffers(batch.column(1))
-        for i, j in blocks(offsets, 1_500_000):
+        for i, j in blocks(offsets):
             ids, row = encoder.block(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             text, begin = emit(ids, table)
             said, place = emit(ids, digits)
@@ -393,6 +373,6 @@ def tokenize_roundtrip(docs, path: str | None = None):
     columns are ignored. Words are cut from whole texts; no text is shortened.
     """
     path = path or vocabulary_path()
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         lambda batches: encode_decode(batches, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
