@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlane.llm import bpe
 from emberlane.llm.text import blocks, buffers
+from emberlane.session import materialize
 
 #: Lengths that share a bucket of the two-level sums.
 BUCKET = 512
@@ -36,9 +37,10 @@ def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     length; quantile: share of documents at or below it; truncated_total: tokens left if every document were cut at
     n_tokens; truncated_docs: documents that this cuts. An empty table gives no rows; a null or empty text has length 0;
     repeated rows count each. Documents are summed per length before the shuffle, and lengths per bucket before the
-    sums run over buckets, so no task sees more than the buckets.
+    sums run over buckets, so no task sees more than the buckets. Texts are encoded once: the counts are written out
+    before the sums read them twice.
     """
-    counts = document_lengths(docs, path).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = materialize(document_lengths(docs, path).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
     counts = counts.withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     buckets = counts.groupBy("bucket").agg(F.sum("n_docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
     up = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,12 +66,22 @@ def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """Totals of tokens kept and documents cut at any context limits, whether or not a document has that length."""
-    each = histogram.select("n_tokens", "n_docs", F.explode(F.array(*[F.lit(int(x)) for x in limits])).alias("context"))
-    return each.groupBy("context").agg(
-        F.sum(F.least("n_tokens", "context") * F.col("n_docs")).alias("kept_tokens"),
-        F.sum(F.when(F.col("n_tokens") > F.col("context"), F.col("n_docs")).otherwise(0)).alias("cut_docs"),
-    )
+    """(context, kept_tokens, cut_docs): tokens kept and documents cut at any context limits, whether or not a document
+    has that length, read off the sums: those of the longest length within the limit, or of the shortest beyond it. An
+    empty histogram gives zeros."""
+    h = histogram.select("n_tokens", "docs_le", "tokens_le", "docs_ge", "n_docs")
+    limit = lambda x: F.lit(int(x)).cast("long")
+    # one pass with partial maxima: a row for each limit leaves each task
+    picked = h.agg(*[y for i, x in enumerate(limits) for y in (
+        F.max(F.when(F.col("n_tokens") <= limit(x), F.struct("n_tokens", "tokens_le", (F.col("docs_ge") - F.col("n_docs")).alias("longer")))).alias(f"below{i}"),
+        F.min(F.when(F.col("n_tokens") > limit(x), F.struct("n_tokens", F.lit(0).cast("long").alias("tokens_le"), F.col("docs_ge").alias("longer")))).alias(f"above{i}"),
+    )])
+    rows = []
+    for i, x in enumerate(limits):
+        best = F.coalesce(F.col(f"below{i}"), F.col(f"above{i}"))
+        longer, tokens = F.coalesce(best["longer"], F.lit(0)), F.coalesce(best["tokens_le"], F.lit(0))
+        rows.append(F.struct(F.lit(int(x)).alias("context"), (tokens + longer * limit(x)).alias("kept_tokens"), longer.alias("cut_docs")))
+    return picked.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:

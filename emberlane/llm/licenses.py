@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from emberlane.llm.text import U64, blocks, buffers, gram_hashes, mix, slice_hashes, stream
 from emberlane.llm.toxicity import LOWER, tokens
@@ -181,4 +182,4 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
                     names=["doc_id", "license", "containment", "from_char", "to_char"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(search, "doc_id long, license string, containment double, from_char int, to_char int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, "doc_id long, license string, containment double, from_char int, to_char int")

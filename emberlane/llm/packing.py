@@ -101,13 +101,15 @@ def pack_documents(docs: DataFrame, size: int = 1024, path: str | None = None, g
 
     A document is the ids of its whole text (null: empty) and an end id. Documents longer than a window are first cut
     into full windows; the rest of each document stays in one piece, and pieces go to the tightest open window, longest
-    first. Pieces are packed in groups of about so many, dealt by a hash of document and start; every id is in exactly
+    first. Pieces are packed in groups of about so many, dealt by a hash of document, start, length and ids; every id is in exactly
     one piece and offsets in a window have no gaps. Repeated rows are packed each; an empty table gives no rows.
-    The result depends on the rows alone, not on their order or partitions.
+    The result depends on the rows alone, not on their order or partitions, but for rows without doc_id.
     """
     pieces = materialize(cut_pieces(docs, size, path or bpe.vocabulary_path()), "pieces")
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    # rows without doc_id may be many and alike, so they are dealt by their place in the written pieces
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    dealt = pieces.withColumn("deal", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", place), F.lit(groups)))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
                         out[full] |= (2 * ones > count[full]).astype(U64) << U64(b)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp long")
 
 
 def bit_groups(radius: int, keep: int) -> list[int]:
@@ -169,16 +169,23 @@ def tile_links(t: np.ndarray, v: np.ndarray, radius: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, keep: int = 3, shingle: int = 4, tile: int = 2048) -> DataFrame:
+#: Up to so many different fingerprints share buckets by three equal runs of bits, beyond it by four.
+FEW = 1 << 24
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, keep: int | None = None, shingle: int = 4, tile: int = 2048) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id reachable by links of at most radius bits.
 
     Equal fingerprints are one node, so groups of copies cost one row. Every pair of fingerprints within the radius
     shares the bits of one of the masks; buckets of equal masked bits are compared by bit planes, hot buckets in tiles,
-    and each gives a forest instead of its pairs. Null and empty texts have fingerprint 0 and link like any other.
+    and each gives a forest instead of its pairs. keep: how many runs of bits a bucket shares; every choice is exact, more
+    runs make buckets smaller and rows more (None: by the number of fingerprints). Null and empty texts have fingerprint 0 and link like any other.
     Repeated rows stay. A row with a null doc_id stays too; its component is that of the others with its links.
     """
     prints = materialize(fingerprints(docs, shingle), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    if keep is None:
+        keep = 3 if distinct.count() <= FEW else 4
     masks = bit_groups(radius, keep)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = distinct.select(
