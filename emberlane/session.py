@@ -27,11 +27,13 @@ def local_session(app: str = "emberlane", cores: int | str = 8, partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a folder of our own."""
+    """The folder named by spark.checkpoint.dir; only in local mode, where it may be unset (tests), a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not named:
         named = sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local") or not named and sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = "file://" + os.path.join(tempfile.gettempdir(), "emberlane-checkpoints")
     if not sc.getCheckpointDir():
