@@ -46,4 +46,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/emberlane/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._emberlane_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables. Call it once all that reads them is written elsewhere; nothing can read them after."""
+    for df in tables:
+        path = getattr(df, "_emberlane_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
