@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.session import materialize
+from emberlane.session import materialize, release
 
 
 class Forest:
@@ -71,10 +71,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where(F.col("u") != F.col("v")).distinct(), "star")
+        release(now, least)
         # small star: a node and its smaller neighbours are linked to the least of them
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = materialize(small.select("e.*").where(F.col("u") != F.col("v")).distinct(), "links")
+        release(large, least)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

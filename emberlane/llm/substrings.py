@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlane.llm.text import U64, WORDS, blocks, buffers, gram_hashes, signed, word_bounds, word_hashes
-from emberlane.session import materialize
+from emberlane.session import materialize, release
 
 GRAM = 6
 
@@ -118,6 +118,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     repeated = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors")
     marked = found.join(repeated, "h").groupBy("doc_id").agg(F.collect_list("s").alias("at"))
     marked = materialize(marked, "marked")
+    release(repeated)
 
     # one shuffle of the texts: documents without a repeated anchor are done, the others go on with their phrases
     def settle(batches):
@@ -137,6 +138,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     settled = docs.join(marked, "doc_id", "left").select("doc_id", "text", "at")
     settled = materialize(settled.mapInArrow(settle, "doc_id long, n_words long, sha string, text string, at array<int>"), "settled")
+    release(marked)
 
     def phrases_of(batches):
         for batch in batches:
@@ -189,6 +191,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     starts_at = materialize(starts_at.select("p", "q", F.col("first.doc_id").alias("d0"), F.col("first.s").alias("s0")), "firsts")
     late = windows.join(starts_at, ["p", "q"]).where("doc_id != d0 OR s != s0").select("doc_id", "s", F.lit(1).alias("n"), "d0", "s0")
     pieces = materialize(copied.unionByName(late).groupBy("doc_id").agg(F.collect_list(F.struct("s", "n", "d0", "s0")).alias("cut")), "pieces")
+    release(parsed, index, windows, starts_at)
 
     def clean(batches):
         for batch in batches:
