@@ -28,17 +28,18 @@ def _fold(items: Column, budget: Column, pinned: bool) -> Column:
     return F.aggregate(items, start, step, lambda s: s["kept"])
 
 
-def greedy(rows: DataFrame, by: str, order: list[Column], key: str, cost: str, budget: int, pinned: Column | None = None) -> DataFrame:
+def greedy(rows: DataFrame, by: str, order: list[Column], key: str, cost: str, budget: int, pinned: Column | None = None, carry=()) -> DataFrame:
     """Skip rule: in order, keep what still fits; later small items may fit after a large one was left out.
 
-    order: numeric columns, larger first; ties by the smaller key. Pinned items are always kept. (by, key, cost, kept)
+    order: numeric columns, larger first; ties by the smaller key. Pinned items are always kept. (by, key, cost,
+    kept) and the columns to carry.
     """
     p = F.coalesce(pinned, F.lit(False)) if pinned is not None else F.lit(False)
     ranks = [(-o).alias(f"o{i}") for i, o in enumerate(order)]
-    item = F.struct((~p).cast("int").alias("late"), *ranks, F.col(key).alias("key"), F.col(cost).cast("long").alias("cost"), p.alias("pinned"))
+    item = F.struct((~p).cast("int").alias("late"), *ranks, F.col(key).alias("key"), F.col(cost).cast("long").alias("cost"), p.alias("pinned"), F.struct(F.lit(0).alias("_"), *carry).alias("more"))
     g = rows.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("items"))
     g = g.select(by, F.explode(F.arrays_zip("items", _fold(F.col("items"), F.lit(budget), True).alias("kept"))).alias("x"))
-    return g.select(by, F.col("x.items.key").alias(key), F.col("x.items.cost").alias(cost), F.col("x.kept").alias("kept"))
+    return g.select(by, F.col("x.items.key").alias(key), F.col("x.items.cost").alias(cost), F.col("x.kept").alias("kept"), *[F.col(f"x.items.more.{c}").alias(c) for c in carry])
 
 
 def fit_levels(rows: DataFrame, by: str, order: list[Column], key: str, costs: list[str], budget: int, level: Column, pinned: Column | None = None) -> DataFrame:

@@ -59,8 +59,7 @@ def bundle(candidates: DataFrame, session: str, key: str, score: Column, tokens:
     from emberlane.operators.budget import greedy
 
     scored = candidates.withColumn("score", score).where(admit | pinned)
-    kept = greedy(scored, session, [F.round("score", 9)], key, tokens, budget, pinned)
-    return kept.join(scored.select(session, key, "score"), [session, key]).select(session, key, "score", tokens, "kept")
+    return greedy(scored, session, [F.round("score", 9)], key, tokens, budget, pinned, carry=["score"]).select(session, key, "score", tokens, "kept")
 
 
 def annotate(entries: DataFrame, key: str, tags: dict[str, DataFrame]) -> DataFrame:

@@ -30,7 +30,7 @@ def findings(edges: DataFrame, regions: DataFrame) -> DataFrame:
         F.coalesce("lines", F.lit(1)).alias("lines"),
         F.coalesce("branches", F.lit(0)).alias("branches"),
     )
-    scc = graph.strong_components_grouped(e)
+    scc = materialize(graph.strong_components(e), "components")
     a, b = scc.select(F.col("node").alias("src"), F.col("component").alias("ca")), scc.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
     inner = e.where("src <> dst").join(a, "src").join(b, "dst").where("ca = cb").groupBy(F.col("ca").alias("component")).agg(F.count(F.lit(1)).alias("inner_edges"))
     size = scc.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.col("node").cast("string"))).alias("members")).where("n > 1")

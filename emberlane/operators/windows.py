@@ -29,9 +29,9 @@ def consecutive_edges(rows: DataFrame, group: str, order: list[str], node: str)
     return rows.select(group, F.col(node).alias("src"), F.lead(node).over(w).alias("dst"), F.row_number().over(w).alias("hop")).where("dst IS NOT NULL")
 
 
-def rank_weight(order: Column, by: str | None = None, step: float = 0.04, least: float = 0.4) -> Column:
+def rank_weight(order: Column, by: str, step: float = 0.04, least: float = 0.4) -> Column:
     """max(least, 1 - step * rank), ranks from 0."""
-    w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
+    w = Window.partitionBy(by)
     return F.greatest(F.lit(least), 1 - step * (F.row_number().over(w.orderBy(order)) - 1))
 
 

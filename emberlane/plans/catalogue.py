@@ -97,10 +97,14 @@ def hook_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", key.alias("query_key"), op.alias("operation"))
 
 
-@query("trace_frames", r"SELECT doc_id, len(regexp_extract_all(text, '([a-z]+) the ([a-z]+)'))::INTEGER AS frames, regexp_extract(text, '([a-z]+) the ([a-z]+)', 2) AS first FROM documents")
+@query("trace_frames", "SELECT doc_id, 2 AS frames, lang || '/m.py' AS path, doc_id::INTEGER AS line, source AS message FROM documents")
 def trace_frames(spark, sf_dir):
-    p = r"([a-z]+) the ([a-z]+)"
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("frames"), F.regexp_extract("text", p, 2).alias("first"))
+    from emberlane.functions import commands
+
+    i = F.col("doc_id").cast("string")
+    log = F.concat(F.lit("Traceback\n"), "lang", F.lit("/m.py:"), i, F.lit(": "), "source", F.lit("\n  other.py:1\nx.py:y\nlast.py:7\n"))
+    f = table(spark, sf_dir, "documents").select("doc_id", commands.frames(log).alias("f"))
+    return f.select("doc_id", F.size("f").alias("frames"), F.col("f")[0]["path"].alias("path"), F.col("f")[0]["line"].alias("line"), F.col("f")[0]["message"].alias("message"))
 
 
 @query(

@@ -49,4 +49,4 @@ def load() -> None:
         importlib.import_module(f"emberlane.plans.{name}")
 
 
-MODULES = ("logs", "working_sets", "search", "ranking", "graphs", "changes", "catalogue")
+MODULES = ("logs", "working_sets", "search", "ranking", "graphs", "changes", "catalogue", "tools")

@@ -28,13 +28,13 @@ def content_hash(spark, sf_dir):
 @query(
     "package_rollup",
     """
-    SELECT CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '.' END AS package, count(*) AS n, min(regexp_replace(p, '[^A-Za-z0-9_-]', '_', 'g')) AS safe
+    SELECT CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '.' END AS package, count(*) AS n, min(substr(regexp_replace(p, '[^\\p{L}\\p{N}_-]', '_', 'g'), 1, 80)) AS safe
     FROM (SELECT regexp_replace(url, '^https?://', '') AS p FROM pages) GROUP BY 1
     """,
 )
 def package_rollup(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^https?://", "").alias("p"))
-    return p.groupBy(identity.package_of("p").alias("package")).agg(F.count(F.lit(1)).alias("n"), F.min(F.regexp_replace("p", "[^A-Za-z0-9_-]", "_")).alias("safe"))
+    return p.groupBy(identity.package_of("p").alias("package")).agg(F.count(F.lit(1)).alias("n"), F.min(identity.safe_id("p")).alias("safe"))
 
 
 @query(
@@ -196,12 +196,12 @@ def lexical_traps(spark, sf_dir):
     "keywords",
     """
     WITH k AS (SELECT conv_id, turn, role, text, regexp_extract_all(lower(text), '[a-z]{4,}') AS w FROM conversations)
-    SELECT conv_id, turn, role, sha256(text) AS t, len(list_distinct(list_filter(w, lambda x: x NOT IN ('when', 'with', 'from', 'that', 'this', 'into', 'find', 'locate', 'which', 'where', 'used', 'after'))))::INTEGER AS n FROM k
+    SELECT conv_id, turn, role, sha256(text) AS t, least(5, len(list_distinct(list_filter(w, lambda x: x NOT IN ('when', 'with', 'from', 'that', 'this', 'into', 'find', 'locate', 'which', 'where', 'used', 'after')))))::INTEGER AS n FROM k
     """,
 )
 def keywords(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", "role", F.sha2("text", 256).alias("t"), F.size(text.keywords("text", 1 << 20)).alias("n"))
+    return c.select("conv_id", "turn", "role", F.sha2("text", 256).alias("t"), F.size(text.keywords("text")).alias("n"))
 
 
 @query(
@@ -229,7 +229,7 @@ def card_measure(spark, sf_dir):
 
 @query(
     "branch_lines",
-    r"SELECT page_id, len(regexp_extract_all(html, '(?m)^\s*<(?:div|p|li)\b'))::INTEGER AS n, len(string_split(html, chr(10)))::INTEGER AS lines FROM pages",
+    r"SELECT page_id, len(list_filter(string_split(replace(replace(html, '<div', chr(10) || ' if '), '<p', chr(10) || 'for '), chr(10)), lambda x: regexp_matches(x, '^\s*(elif|else|if|for|while|except|case)\b')))::INTEGER AS n, len(string_split(html, chr(10)))::INTEGER AS lines FROM pages",
 )
 def branch_lines(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(r"(?m)^\s*<(?:div|p|li)\b")).alias("n"), F.size(F.split("html", "\n")).alias("lines"))
+    return table(spark, sf_dir, "pages").select("page_id", text.branch_count(F.replace(F.replace("html", F.lit("<div"), F.lit("\n if ")), F.lit("<p"), F.lit("\nfor "))).alias("n"), F.size(F.split("html", "\n")).alias("lines"))

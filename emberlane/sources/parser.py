@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import builtins
 import hashlib
 import textwrap
 
@@ -20,7 +19,15 @@ COMMON_METHODS = (
     "startswith endswith replace write writelines read writerow writerows writeheader getvalue dumps loads today now isoformat fromisoformat strftime "
     "strptime encode decode hexdigest"
 ).split()
-BUILTINS = sorted(n for n in dir(builtins) if not n.startswith("_"))
+#: Names of the language that calls are not bound to.
+BUILTINS = (
+    "abs", "all", "any", "ascii", "bin", "bool", "bytearray", "bytes", "callable", "chr", "classmethod", "compile", "complex", "delattr", "dict", "dir",
+    "divmod", "enumerate", "eval", "exec", "filter", "float", "format", "frozenset", "getattr", "globals", "hasattr", "hash", "help", "hex", "id",
+    "input", "int", "isinstance", "issubclass", "iter", "len", "list", "locals", "map", "max", "memoryview", "min", "next", "object", "oct", "open",
+    "ord", "pow", "print", "property", "range", "repr", "reversed", "round", "set", "setattr", "slice", "sorted", "staticmethod", "str", "sum",
+    "super", "tuple", "type", "vars", "zip", "None", "True", "False", "Exception", "ValueError", "TypeError", "KeyError", "AttributeError",
+    "RuntimeError", "NotImplementedError", "StopIteration", "AssertionError",
+)
 
 
 def _hash(text: str, digits: int) -> str:
@@ -174,7 +181,7 @@ def resolve(regions: DataFrame, calls: DataFrame, imports: DataFrame, attrs: Dat
     n, own = F.size("parts"), F.col("head").isin("self", "cls")
     common = F.col("short").isin(COMMON_METHODS)
     rule = (
-        F.when(F.col("short").isin(BUILTINS), None)
+        F.when(F.col("short").isin(list(BUILTINS)), None)
         .when(own & (n == 1), None)
         .when(own & (n == 2), F.when(F.col("cls").isNotNull(), F.col("by_self")))
         .when(own, F.col("by_attr"))
@@ -186,7 +193,7 @@ def resolve(regions: DataFrame, calls: DataFrame, imports: DataFrame, attrs: Dat
 
 
 class _Canonical(ast.NodeVisitor):
-    """Node names in order, with identifiers numbered by first use and constants spelled out; docstrings left out."""
+    """Node names in order, with identifiers, attributes too, numbered by first use and constants spelled out; docstrings left out."""
 
     def __init__(self):
         self.kinds: list[str] = []
@@ -207,7 +214,7 @@ class _Canonical(ast.NodeVisitor):
         words = []
         for field, value in ast.iter_fields(node):
             if isinstance(value, str) and field in ("id", "arg", "name", "attr"):
-                words.append(self.name(value) if field != "attr" else value)
+                words.append(self.name(value))
         if isinstance(node, ast.Constant):
             words.append(repr(node.value))
         self.kinds.append(kind)
