@@ -43,6 +43,19 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+#: All windows by their text; the operator parses against a distributed index of them.
+ORACLES["op1_substrings"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda j: array_to_string(w[j : j + 19], ' '))) AS t FROM d),
+o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS nth FROM x),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM o WHERE nth > 1),
+p AS (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(v, ' ' ORDER BY i) AS t FROM p ANTI JOIN g USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.line_rules(table(spark, sf_dir, "documents"))
