@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlane.session import materialize, release
+from emberlane.sources import parser
+
 
 def build_lake(spark: SparkSession, root: str, layers: dict[str, dict[str, DataFrame]], built_ms: int) -> DataFrame:
     """Write every table of every layer as root/layer/name, then root/manifest with one row a table, which is returned:
@@ -30,3 +33,15 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
     there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
     return spark.read.schema(schema).json(f"{root}/manifest") if there else spark.createDataFrame([], schema)
+
+
+def reindex(spark: SparkSession, root: str, files: DataFrame, indexed_ms: int) -> DataFrame:
+    """Full reindex of (path, text) files: every table under root/index is replaced whole by what the files hold now, the
+    calls bound anew. Files are parsed once. Returns the manifest rows; each file has one region of kind module, so a
+    file that does not parse counts too, and no files give empty tables."""
+    parsed = materialize(parser.parse_files(files), "parsed")
+    regions, calls, imports, attrs = (parser.part(parsed, name) for name in ("regions", "calls", "imports", "attrs"))
+    tables = {"regions": regions, "calls": parser.resolve(regions, calls, imports, attrs), "imports": imports}
+    done = build_lake(spark, root, {"index": tables}, indexed_ms)
+    release(parsed)
+    return done

@@ -29,3 +29,10 @@ def hierarchy(regions: DataFrame, level: str, tokens: str, capacity: dict[str, i
     for k, v in capacity.items():
         cap = F.when(F.col("level") == k, F.lit(v).cast("long")).otherwise(cap)
     return out.select("*", (F.col("tokens") / cap).alias("utilization"), F.greatest(cap - F.col("tokens"), F.lit(0)).alias("free"))
+
+
+def execution_path(working_set: DataFrame, execution: str, access: str, bar: float = 0.2) -> DataFrame:
+    """Rows that a program trace reached (execution above the bar), with joined: whether the agent read them too. Missing
+    scores count as 0."""
+    reached = lambda name: F.coalesce(F.col(name), F.lit(0.0)) > bar
+    return working_set.where(reached(execution)).withColumn("joined", reached(access))

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from emberlane.functions import commands, stems
-from emberlane.operators import jobs, lexical
+from emberlane.operators import jobs, lexical, payloads
+from emberlane.plans.catalogue import SOURCES
 from emberlane.plans.registry import query
 from emberlane.session import shared_dir
 from emberlane.sources import reports
@@ -116,3 +117,25 @@ def bm25_stemmed(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "query")
     out = lexical.bm25(d, q, "doc_id", "item_id", "query", {"text": 1.0, "source": 2.0}, 5, stem=stems.stem_words)
     return out.select("item_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+@query("reindex")
+def reindex(spark, sf_dir):
+    """Rows of each table of a full reindex of the demo sources."""
+    root = f"{shared_dir(spark)}/emberlane/index-{uuid.uuid4().hex}"
+    return jobs.reindex(spark, root, spark.createDataFrame(SOURCES, "path string, text string"), 0).select("layer", "name", "rows")
+
+
+@query(
+    "execution_path",
+    """
+    WITH w AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS region, max(value) FILTER (event_type = 'error') / 500 AS execution,
+      count(*) FILTER (event_type = 'view') / 4 AS access FROM events GROUP BY 1, 2)
+    SELECT user_id, region, execution, access > 0.2 AS joined FROM w WHERE execution > 0.2
+    """,
+)
+def execution_path(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("region", F.get_json_object("props", "$.k").cast("int"))
+    of = lambda kind, x: F.when(F.col("event_type") == kind, x)
+    w = e.groupBy("user_id", "region").agg((F.max(of("error", F.col("value"))) / 500).alias("execution"), (F.count(of("view", F.lit(1))) / 4).alias("access"))
+    return payloads.execution_path(w, "execution", "access").select("user_id", "region", "execution", "joined")

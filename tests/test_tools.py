@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from emberlane.functions import commands
 from emberlane.functions.stems import porter, stem_words
-from emberlane.operators import jobs
+from emberlane.operators import jobs, payloads
 from emberlane.sources import parser, reports
 
 
@@ -71,3 +71,19 @@ def test_reports_and_lake(spark, tmp_path):
 def test_clones_that_rename_an_attribute_are_equal():
     one, two = "def f(a):\n    a.x = 1\n    b = a.x + 2\n    return b\n", "def g(c):\n    c.y = 1\n    d = c.y + 2\n    return d\n"
     assert parser.fingerprint(one)[0] == parser.fingerprint(two)[0] != parser.fingerprint(one.replace("+ 2", "+ 3"))[0]
+
+
+def test_reindex_replaces_what_was_indexed(spark, tmp_path):
+    files = [("a.py", "import b\n\n\ndef f():\n    return g()\n\n\ndef g():\n    return 1\n"), ("bad.py", "def (")]
+    root = f"{tmp_path}/index"
+    for given, wanted in ((files, {"regions": 4, "calls": 1, "imports": 1}), (files[1:], {"regions": 1, "calls": 0, "imports": 0}), ([], {"regions": 0, "calls": 0, "imports": 0})):
+        done = jobs.reindex(spark, root, spark.createDataFrame(given, "path string, text string"), 9)
+        assert {r.name: r.rows for r in done.collect()} == wanted
+        assert spark.read.parquet(f"{root}/index/regions").count() == wanted["regions"]
+        if given == files:
+            assert spark.read.parquet(f"{root}/index/calls").first().callee_id is not None
+
+
+def test_execution_path_takes_missing_scores_as_none(spark):
+    ws = spark.createDataFrame([(1, 0.5, 0.3), (2, 0.5, None), (3, 0.2, 0.9), (4, None, 0.9), (5, 0.21, 0.2)], "r int, x double, a double")
+    assert {(r.r, r.joined) for r in payloads.execution_path(ws, "x", "a").collect()} == {(1, True), (2, False), (5, False)}
