@@ -76,7 +76,14 @@ def planes(values: np.ndarray) -> np.ndarray:
 
 
 def within(plane: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, value) index pairs at distance <= radius.
+    """(query, value) index pairs at distance <= radius."""
+    alive_q, near = near_values(plane, queries, radius)
+    q, v = np.nonzero(near)
+    return alive_q[q], v
+
+
+def near_values(plane: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries that may have a value at distance <= radius, and for each of them 1 at such values, 0 at others.
 
     All distances of a query grow together: each plane's differing bits are added to bitwise counters by carry-save
     steps, and counters that pass the radius stick. A query's block ends once all its values have passed.
@@ -86,11 +93,14 @@ def within(plane: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndar
     alive_q = np.arange(len(queries))
     counters = np.zeros((width, len(queries), lanes), dtype=U64)
     over = np.zeros((len(queries), lanes), dtype=U64)
-    bits = ((queries[:, None] >> np.arange(64, dtype=U64)) & U64(1)).astype(bool)
+    flips = U64(0) - ((queries[:, None] >> np.arange(64, dtype=U64)) & U64(1))  # all ones where a query's bit is 1
     for b in range(64):
-        carry = np.where(bits[alive_q, b][:, None], ~plane[b][None, :], plane[b][None, :])
+        carry = plane[b][None, :] ^ flips[alive_q, b][:, None]
+        spare = np.empty_like(carry)
         for k in range(width):
-            counters[k], carry = counters[k] ^ carry, counters[k] & carry
+            np.bitwise_and(counters[k], carry, out=spare)
+            counters[k] ^= carry
+            carry, spare = spare, carry
         over |= carry
         # counters that hold more than the radius
         if b % 8 == 7 or b == 63:
@@ -101,10 +111,8 @@ def within(plane: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndar
             if not len(alive_q):
                 break
     if not len(alive_q):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    near = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")
-    q, v = np.nonzero(near)
-    return alive_q[q], v
+        return np.zeros(0, dtype=np.int64), np.zeros((0, 64 * lanes), dtype=np.uint8)
+    return alive_q, np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")
 
 
 def _above(counters: np.ndarray, radius: int) -> np.ndarray:
