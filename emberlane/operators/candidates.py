@@ -32,8 +32,9 @@ def one_hop(actives: DataFrame, edges: DataFrame, key: str, src: str, dst: str,
 
 def undirected_neighbours(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, neighbour) in both directions, distinct, without self-loops."""
-    both = edges.select(F.col(src).alias("node"), F.col(dst).alias("neighbour")).unionByName(edges.select(F.col(dst).alias("node"), F.col(src).alias("neighbour")))
-    return both.where("node <> neighbour").distinct()
+    from emberlane.operators.graph import symmetric
+
+    return symmetric(edges, src, dst).withColumnsRenamed({"src": "node", "dst": "neighbour"})
 
 
 def ghosts(seen: DataFrame, index: DataFrame, key: str, hints: DataFrame | None = None) -> DataFrame:
