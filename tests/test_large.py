@@ -1,8 +1,91 @@
 """Distributed forms of what one task does for small components, and counts that no task may hold."""
 
+import random
+
+import pytest
+
 from emberlane.operators import graph
 
 
+@pytest.fixture
+def no_task(monkeypatch):
+    """Every component is taken as too large for a task, and tasks as unable to take any."""
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 0)
+
+
+def sparse(seed):
+    """Trees with chords and a clique on a stalk, in three components."""
+    rng = random.Random(seed)
+    edges = []
+    for base in (0, 100, 200):
+        edges += [(base + k, base + rng.randrange(max(0, k - 6), k)) for k in range(1, 30)]
+        edges += [(base + rng.randrange(30), base + rng.randrange(30)) for _ in range(8)]
+        edges += [(base + 40 + i, base + 40 + j) for i in range(4) for j in range(i)] + [(base + 40, base + 17)]
+    return edges
+
+
+def pieces_of(edges):
+    """Articulation points with what they leave, by taking out every node."""
+    near = {}
+    for u, v in edges:
+        if u != v:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+    out = {}
+    for node in near:
+        seen, sizes = {node}, []
+        for start in near[node]:
+            if start not in seen:
+                seen.add(start)
+                todo, n = [start], 0
+                while todo:
+                    n += 1
+                    for v in near[todo.pop()] - seen:
+                        seen.add(v)
+                        todo.append(v)
+                sizes.append(n)
+        if len(sizes) > 1:
+            out[node] = (len(sizes), max(sizes), sum(sizes) - max(sizes))
+    return out
+
+
+def points(spark, edges):
+    rows = graph.articulation_points(spark.createDataFrame(edges, "src long, dst long")).collect()
+    return {r.node: (r.pieces, r.largest, r.dependent) for r in rows}
+
+
+def test_articulation_points_of_components_beyond_a_task(spark, no_task, monkeypatch):
+    edges = sparse(7)
+    want = pieces_of(edges)
+    monkeypatch.setattr(graph, "articulation_of", None)
+    assert points(spark, edges) == want and len(want) > 10
+
+
+def test_articulation_points_of_a_task(spark):
+    edges = sparse(8)
+    assert points(spark, edges) == pieces_of(edges)
+    n = 20_000  # a path: a walk from each of its points would take the square
+    got = graph.articulation_of({k: [j for j in (k - 1, k + 1) if 0 <= j < n] for k in range(n)})
+    assert len(got) == n - 2 and got[1] == [n - 2, 1]
+
+
+def test_strong_components_of_a_component_beyond_a_task(spark, no_task, monkeypatch):
+    edges = [(k, k + 1) for k in range(1, 9)] + [(4, 2), (9, 6), (20, 21)]
+    monkeypatch.setattr(graph, "strong_components_of", None)
+    got = {r.node: r.component for r in graph.strong_components_grouped(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 2, 5: 5, 6: 6, 7: 6, 8: 6, 9: 6, 20: 20, 21: 21}
+
+
+def test_betweenness_ships_only_components_it_answers(spark, monkeypatch):
+    edges = [(k, k + 1) for k in range(10)] + [(20, 21), (21, 22)]
+    sizes = spark.sparkContext.accumulator(0)
+    real = graph._lists
+    monkeypatch.setattr(graph, "_lists", lambda pdf: (sizes.add(len(pdf)), real(pdf))[1])
+    got = {r.node: r.betweenness for r in graph.betweenness(spark.createDataFrame(edges, "src long, dst long"), most=5).collect()}
+    assert got == {**dict.fromkeys(range(11)), 20: 0.0, 21: 1.0, 22: 0.0}
+    assert sizes.value == 4
+
+
 def test_symmetric_deals_edges_over_all_partitions(spark):
     got = graph.symmetric(spark.createDataFrame([(1, 2), (2, 1), (3, 3), (None, 4), (5, 2)], "src int, dst int"))
     assert sorted(map(tuple, got.collect())) == [(1, 2), (2, 1), (2, 5), (5, 2)]
