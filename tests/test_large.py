@@ -90,3 +90,73 @@ def test_symmetric_deals_edges_over_all_partitions(spark):
     got = graph.symmetric(spark.createDataFrame([(1, 2), (2, 1), (3, 3), (None, 4), (5, 2)], "src int, dst int"))
     assert sorted(map(tuple, got.collect())) == [(1, 2), (2, 1), (2, 5), (5, 2)]
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def cuts_of(spark, edges):
+    rows = graph.min_cuts(spark.createDataFrame(edges, "src long, dst long, weight double")).collect()
+    return {r.component: (r.nodes, r.weight, r.side) for r in rows}
+
+
+def test_min_cuts_of_components_beyond_a_task(spark, monkeypatch):
+    """Two dense halves joined by few light edges, a ring, and two nodes; the halves are merged by forests before a task
+    sees them."""
+    rng, edges = random.Random(2), []
+    for base in (0, 50):
+        edges += [(base + i, base + j, float(rng.randint(1, 3))) for i in range(19) for j in range(i) if rng.random() < 0.8]
+        edges += [(base + 19, base + j, 1.0) for j in (2, 5, 11)]
+    edges += [(3, 55, 1.0), (9, 60, 1.5)] + [(200 + k, 200 + (k + 1) % 12, 1.0) for k in range(12)] + [(300, 301, 4.0), (301, 300, 2.0)]
+    whole = cuts_of(spark, edges)
+    assert whole[0] == (40, 2.5, list(range(20))) and whole[300] == (2, 6.0, [300])
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 15)
+    from emberlane.operators import cuts
+
+    real, seen = cuts.min_cut_of, spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(cuts, "min_cut_of", lambda w: (seen.add(sum(map(len, w.values())) // 2), real(w))[1])
+    got = cuts_of(spark, edges)
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in whole.items()} and got[0] == whole[0]
+    assert 0 < seen.value < 40
+
+
+def test_forests_never_merge_what_a_cheaper_cut_parts():
+    import numpy as np
+
+    from emberlane.operators import cuts
+
+    rng = random.Random(6)
+    for n, k in ((12, 3), (25, 4), (40, 5)):
+        edges = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(n * k)})
+        rng.shuffle(edges)
+        forests = cuts.Forests(n, k)
+        for at in range(0, len(edges), 17):
+            part = np.array(edges[at : at + 17], np.int32)
+            forests.add(part[:, 0], part[:, 1], np.ones(len(part), np.int32))
+        groups = {}
+        for u in range(n):
+            groups.setdefault(int(forests.merged[u]), []).append(u)
+        for group in groups.values():
+            for v in group[1:]:
+                assert flow(n, edges, group[0], v) >= k
+        assert len(groups) < n
+
+
+def flow(n, edges, s, t):
+    """Edge-disjoint paths from s to t."""
+    room = {}
+    for u, v in edges:
+        room[u, v] = room[v, u] = 1
+    total = 0
+    while True:
+        back, todo = {s: None}, [s]
+        while todo and t not in back:
+            u = todo.pop()
+            for v in range(n):
+                if v not in back and room.get((u, v), 0) > 0:
+                    back[v] = u
+                    todo.append(v)
+        if t not in back:
+            return total
+        total, v = total + 1, t
+        while back[v] is not None:
+            room[back[v], v] -= 1
+            room[v, back[v]] += 1
+            v = back[v]
