@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberlane.functions.scoring import DECAY
 
@@ -44,18 +42,11 @@ def sessions(stream: DataFrame, gap: str, by: str, time: str = "ts", late: str =
 
 
 def working_set(stream: DataFrame, session: str = "user_id", region: str = "region", seq: str = "event_id") -> DataFrame:
-    """(session, region, touches, frequency, last_seq) after each batch: state decays once a touch, not with time."""
-
-    def step(key, batches, state: GroupState):
-        n, f, last = state.get if state.exists else (0, 0.0, -1)
-        for pdf in batches:
-            for s in sorted(pdf[seq]):
-                n, f, last = n + 1, DECAY * f + 1, max(last, int(s))
-        state.update((n, f, last))
-        yield pd.DataFrame({session: [key[0]], region: [key[1]], "touches": [n], "frequency": [f], "last_seq": [last]})
-
-    schema = f"{session} long, {region} int, touches long, frequency double, last_seq long"
-    return stream.groupBy(session, region).applyInPandasWithState(step, schema, "touches long, frequency double, last_seq long", "update", GroupStateTimeout.NoTimeout)
+    """(session, region, touches, frequency, last_seq) after each batch: state decays once a touch, not with time, so n
+    touches f <- rho * f + 1 are (1 - rho^n) / (1 - rho), and the state is a count and the last number."""
+    frequency = (1 - F.pow(F.lit(DECAY), F.col("touches"))) / (1 - DECAY)
+    out = stream.groupBy(session, region).agg(F.count(F.lit(1)).alias("touches"), F.max(seq).alias("last_seq"))
+    return out.select(session, region, "touches", frequency.alias("frequency"), F.col("last_seq").cast("long").alias("last_seq"))
 
 
 def drain(stream: DataFrame, mode: str = "append", name: str = "drained") -> DataFrame:
