@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlane.functions.scoring import DECAY
+from emberlane.session import spread
 
 
 def decayed_frequency(touches: DataFrame, keys: list[str], rho: float = DECAY) -> DataFrame:
@@ -23,9 +24,10 @@ def max_merge(touches: DataFrame, keys: list[str], scores: list[str], order: lis
 
 def calls_of(rows: DataFrame, session: str, call: str, region: str, most: int | None = None, order: str | None = None) -> DataFrame:
     """Co-access calls: (session, call, regions, ordinal, n_calls); calls of fewer than two distinct ids are dropped
-    before calls are numbered in the session."""
+    before calls are numbered in the session. Sessions are dealt over all partitions, so that a task has few of the pairs
+    that its calls hold."""
     ids = F.array_sort(F.collect_set(region)) if most is None else F.slice(F.array_sort(F.collect_set(region)), 1, most)
-    calls = rows.groupBy(session, call).agg(ids.alias("regions")).where(F.size("regions") >= 2)
+    calls = spread(rows.select(session, call, region), session).groupBy(session, call).agg(ids.alias("regions")).where(F.size("regions") >= 2)
     per = Window.partitionBy(session)
     return calls.withColumn("ordinal", F.row_number().over(per.orderBy(order or call))).withColumn("n_calls", F.count(F.lit(1)).over(per))
 

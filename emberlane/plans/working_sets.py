@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlane.operators import intervals, lake, working_set
 from emberlane.plans.registry import query
+from emberlane.session import spread
 from emberlane.sources.tables import table
 
 
@@ -56,7 +57,7 @@ def co_access_decay_topn(spark, sf_dir):
 @query("co_access_saturating", CALLS_SQL + "SELECT a, b, least(1.0, 0.12 * sum(round(score / 0.12)))::DOUBLE AS score FROM w GROUP BY 1, 2")
 def co_access_saturating(spark, sf_dir):
     calls = working_set.calls_of(touches_of(spark, sf_dir), "o_custkey", "o_orderkey", "l_partkey")
-    return working_set.pairs_in_calls(calls, ["o_custkey"]).groupBy("a", "b").agg(F.least(F.lit(1.0), F.lit(0.12) * F.count(F.lit(1))).alias("score"))
+    return spread(working_set.pairs_in_calls(calls, []), "a", "b").groupBy("a", "b").agg(F.least(F.lit(1.0), F.lit(0.12) * F.count(F.lit(1))).alias("score"))
 
 
 @query(
@@ -65,7 +66,7 @@ def co_access_saturating(spark, sf_dir):
 )
 def pair_max_top(spark, sf_dir):
     calls = working_set.calls_of(touches_of(spark, sf_dir), "o_custkey", "o_orderkey", "l_partkey")
-    pairs = working_set.co_access(calls, "o_custkey").groupBy("a", "b").agg(F.round(F.max("weight"), 6).alias("weight"))
+    pairs = spread(working_set.co_access(calls, "o_custkey").select("a", "b", "weight"), "a", "b").groupBy("a", "b").agg(F.round(F.max("weight"), 6).alias("weight"))
     return pairs.orderBy(F.desc("weight"), "a", "b").limit(300)
 
 
