@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberlane.functions import scoring
 from emberlane.operators import budget, candidates
 from emberlane.plans.registry import query
+from emberlane.session import spread
 from emberlane.sources.tables import table
 
 
@@ -223,7 +224,7 @@ def fit_budget_downgrade(spark, sf_dir):
 def prefetch_caps(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("parent"), F.col("o_custkey").alias("session"))
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent"), F.col("l_partkey").alias("region"), F.floor("l_quantity").cast("long").alias("cost"), F.col("l_extendedprice").alias("p"))
-    u = line.join(o, "parent").groupBy("session", "parent", "region").agg(F.min("cost").alias("cost"), F.max("p").alias("p"))
+    u = spread(line.join(o, "parent"), "session").groupBy("session", "parent", "region").agg(F.min("cost").alias("cost"), F.max("p").alias("p"))
     return budget.capped(u, "session", "parent", "region", [F.col("p")], "cost", 60, 3).select("session", "region", "place")
 
 
