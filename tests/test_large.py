@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from emberlane.operators import graph
+from emberlane.operators import budget, graph, lexical, working_set
 
 
 @pytest.fixture
@@ -160,3 +161,83 @@ def flow(n, edges, s, t):
             room[back[v], v] -= 1
             room[v, back[v]] += 1
             v = back[v]
+
+
+def partitions(df):
+    """Rows of each task that ends df's plan."""
+    return [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+
+
+def test_pairs_of_calls_are_dealt_over_all_partitions(spark):
+    rows = spark.createDataFrame([(s, c, 10 * s + r) for s in range(40) for c in range(3) for r in range(6)], "s int, call int, region int")
+    calls = working_set.calls_of(rows, "s", "call", "region")
+    pairs = working_set.co_access(calls, "s")
+    assert pairs.count() == 40 * 15
+    assert len(partitions(calls)) == len(partitions(pairs)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_edge_cap_needs_no_task_for_a_group(spark):
+    rng = random.Random(4)
+    for _ in range(3):
+        edges = [(rng.randrange(2), rng.randrange(9), rng.randrange(5, 14), rng.randrange(3)) for _ in range(90)]
+        want = []
+        for g in (0, 1):
+            deg = {}
+            for _, u, v, w in sorted((e for e in edges if e[0] == g), key=lambda e: (-e[3], e[1], e[2])):
+                if deg.get(u, 0) < 2 or deg.get(v, 0) < 2:
+                    want.append((g, u, v))
+                    for end in {u, v}:
+                        deg[end] = deg.get(end, 0) + 1
+        df = budget.cap_edges(spark.createDataFrame(edges, "g int, u int, v int, w int"), "g", [F.col("w")], "u", "v", 2)
+        assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert "InPandas" not in df._jdf.queryExecution().toString()
+
+
+def test_vectors_meet_in_blocks(spark, monkeypatch):
+    """Every query's best rows, with ties, in parts of queries and blocks of rows; odd vectors are left out."""
+    monkeypatch.setattr(lexical, "QUERIES_AT_ONCE", 4)
+    monkeypatch.setattr(lexical, "ROWS_AT_ONCE", 3)
+    rng = random.Random(5)
+    vectors = [[float(rng.randint(-2, 2)) for _ in range(3)] for _ in range(60)]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(100, None), (101, [1.0]), (102, [None, 1.0, 1.0]), (103, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    asked = spark.createDataFrame([(i, v) for i, v in rows if i % 5 == 0 or i > 99], "q long, f array<float>")
+    length = lambda v: sum(x * x for x in v) ** 0.5
+    good = [(i, v) for i, v in enumerate(vectors) if length(v) > 0]
+    want = set()
+    for q, f in good:
+        if q % 5 == 0:
+            near = sorted((-round(sum(x * y for x, y in zip(v, f)) / (length(v) * length(f)), 9), i) for i, v in good)
+            want |= {(q, i) for _, i in near[:4]}
+    got = lexical.vector_topk(df, asked, "id", "v", "q", "f", 4)
+    assert {(r.q, r.id) for r in got.collect() if r.q < 100} == want
+    assert {(r.q, r.id) for r in got.collect() if r.q >= 100} == {(101, 101)}
+    assert lexical.vector_topk(df, asked.limit(0), "id", "v", "q", "f", 4).count() == 0
+    assert "zip_with" not in got._jdf.queryExecution().toString()
+
+
+def test_bm25_counts_words_once(spark):
+    """Counted in Python and in columns alike, with stems and without; only rows with a query term leave the count."""
+    from emberlane.functions.stems import stem_words
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["running", "runs", "Cats", "cat", "x1", "sky", "\u212aite", "e\u0301t"]) for _ in range(rng.randint(0, 12))) for _ in range(40)] + [None]
+    rows = spark.createDataFrame([(i, t, f"src{i % 3}") for i, t in enumerate(texts)], "id long, text string, source string")
+    asked = spark.createDataFrame([(1, "running cats"), (2, "kite sky src1"), (3, "nothing")], "q int, query string")
+    plain = lambda c: stem_words(c)  # noqa: E731 (has no word-level form)
+    ask = lambda stem: sorted((r.q, r.id, round(r.score, 9)) for r in lexical.bm25(rows, asked, "id", "q", "query", {"text": 1.0, "source": 2.0}, 5, stem=stem).collect())
+    assert ask(stem_words) == ask(plain) and len(ask(plain)) == 10
+    assert ask(None) == ask(lambda c: c) != ask(plain)
+    plan = lexical.bm25(rows, asked, "id", "q", "query", {"text": 1.0}, 5)._jdf.queryExecution().toString()
+    assert "Generate explode(e" not in plan
+
+
+def test_working_set_stream_needs_no_python(spark, tmp_path):
+    from emberlane.streaming import event_streams
+
+    spark.createDataFrame([(u, i, u % 2) for i, u in enumerate([1, 1, 2, 1, 3, 2])], "user_id long, event_id long, region int").write.parquet(f"{tmp_path}/e.parquet")
+    stream = spark.readStream.schema("user_id long, event_id long, region int").parquet(f"{tmp_path}/e.parquet")
+    kept = event_streams.working_set(stream)
+    assert "InPandas" not in kept._jdf.queryExecution().analyzed().toString()
+    got = event_streams.latest(event_streams.drain(kept, "update", "test"), ["user_id", "region"]).collect()
+    assert {(r.user_id, r.region): (r.touches, round(r.frequency, 9), r.last_seq) for r in got} == {(1, 1): (3, round((0.92 + 1) * 0.92 + 1, 9), 3), (2, 0): (2, 1.92, 5), (3, 1): (1, 1.0, 4)}
