@@ -1,6 +1,7 @@
 """Distributed forms of what one task does for small components, and counts that no task may hold."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,3 +242,41 @@ def test_working_set_stream_needs_no_python(spark, tmp_path):
     assert "InPandas" not in kept._jdf.queryExecution().analyzed().toString()
     got = event_streams.latest(event_streams.drain(kept, "update", "test"), ["user_id", "region"]).collect()
     assert {(r.user_id, r.region): (r.touches, round(r.frequency, 9), r.last_seq) for r in got} == {(1, 1): (3, round((0.92 + 1) * 0.92 + 1, 9), 3), (2, 0): (2, 1.92, 5), (3, 1): (1, 1.0, 4)}
+
+
+def test_gram_hashes_equal_windows_of_words(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [None, "", "one two", "A b_c, d! é a B_C d", "x" * 3000 + " y z", *(" ".join(rng.choice("abcde") * rng.randint(1, 3) for _ in range(rng.randint(0, 30))) for _ in range(40))]
+    words = [re.findall("[a-z0-9_]+", (t or "").lower()) for t in texts]
+    want = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in words]
+    for most in (10**7, 40):
+        monkeypatch.setattr(lexical, "TEXT_AT_ONCE", most)
+        rows = spark.createDataFrame([(i, t, -i) for i, t in enumerate(texts)], "id long, text string, n int")
+        got = sorted(map(tuple, lexical.gram_hashes(rows, "id", "text", 3, ("n",)).collect()))
+        assert [(i, n, len(g)) for i, n, g in got] == [(i, -i, len(w)) for i, w in enumerate(want)]
+        for i, _, g in got:
+            assert g == sorted(g)
+            for j, _, h in got:
+                assert len(set(g) & set(h)) == len(want[i] & want[j])
+
+
+def test_rows_whose_first_grams_are_theirs_alone_are_not_compared(spark, monkeypatch):
+    from emberlane.operators import debt
+
+    written = {}
+    real = debt.materialize
+    monkeypatch.setattr(debt, "materialize", lambda df, name: written.setdefault(name, real(df, name)))
+    base = [f"g{i}" for i in range(20)]
+    rows = [(1, base), (2, [*base[:19], "z"])] + [(10 + k, [f"r{k}{i}" for i in range(10)] + base[:10]) for k in range(30)]
+    links = debt.near_links(spark.createDataFrame(rows, "id int, grams array<string>"), "id", "grams")[1].collect()
+    assert [(r.a, r.b, round(r.similarity, 6)) for r in links] == [(1, 2, round(19 / 21, 6))]
+    assert {r.id for r in written["head"].collect()} <= {1, 2}
+
+
+def test_bundle_scores_before_it_groups(spark):
+    from emberlane.operators import candidates
+
+    rows = spark.createDataFrame([(s, k, k * 7 % 5, 3) for s in range(6) for k in range(5)], "s int, k int, x int, tokens long")
+    out = candidates.bundle(rows, "s", "k", F.exp("x"), "tokens", F.col("score") > 1, F.col("k") == 0, 7)
+    assert sorted((r.s, r.k, r.kept) for r in out.collect()) == [(s, k, k in (0, 2)) for s in range(6) for k in range(5)]
+    assert "EXP(" not in out._jdf.queryExecution().optimizedPlan().toString()
