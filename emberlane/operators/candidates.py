@@ -56,11 +56,14 @@ def labels_for(ids: DataFrame, labels: DataFrame, key: str, label: str) -> DataF
 
 
 def bundle(candidates: DataFrame, session: str, key: str, score: Column, tokens: str, admit: Column, pinned: Column, budget: int) -> DataFrame:
-    """Score, admit, then keep greedily under the budget: (session, key, score, kept)."""
+    """Score, admit, then keep greedily under the budget: (session, key, score, kept). What is scored is written before it
+    is grouped: scores are long expressions, which a filter and a list would each compute again."""
     from emberlane.operators.budget import greedy
+    from emberlane.session import materialize, spread
 
-    scored = candidates.withColumn("score", score).where(admit | pinned)
-    return greedy(scored, session, [F.round("score", 9)], key, tokens, budget, pinned, carry=["score"]).select(session, key, "score", tokens, "kept")
+    scored = candidates.withColumn("score", score).select(session, key, "score", tokens, (admit | pinned).alias("_ok"), pinned.alias("_pinned"))
+    ready = spread(materialize(scored, "scored").where("_ok"), session)
+    return greedy(ready, session, [F.round("score", 9)], key, tokens, budget, F.col("_pinned"), carry=["score"]).select(session, key, "score", tokens, "kept")
 
 
 def annotate(entries: DataFrame, key: str, tags: dict[str, DataFrame]) -> DataFrame:
